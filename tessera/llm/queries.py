@@ -27,10 +27,21 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, written as range-coded segments and read back."""
+    import public_tokenizers
+
+    from tessera.llm import op9_token_files as op
+
+    segments, freq = op.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return op.read_segments(segments, freq)
+
+
 def queries() -> dict:
     return {
         "op3_language": op3_language,
         "op7_warc": op7_warc,
+        "op9_token_files": op9_token_files,
     }
 
 
