@@ -114,7 +114,7 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataF
                 ends = np.concatenate([[0], np.cumsum(total) * int(kind[2])]).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])
                 shards = part.column("shard").to_numpy()
-                starts = np.flatnonzero(np.diff(shards, prefix=shards[0] - 1))
+                starts = np.flatnonzero(np.diff(shards, prepend=shards[0] - 1))
                 nth = np.arange(len(shards)) - np.repeat(starts, np.diff(np.append(starts, len(shards))))
                 if shards[0] == shard:
                     nth[: starts[1] if len(starts) > 1 else None] += seq
