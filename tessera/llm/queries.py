@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from tessera.llm.store import table
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from tessera.llm import op1_html as op
+
+    out = op.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"])
+    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; trained without the rows whose crc32(doc_id) mod 3 is 1."""
     from tessera.llm import op3_language as op
@@ -39,6 +47,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_html": op1_html,
         "op3_language": op3_language,
         "op7_warc": op7_warc,
         "op9_token_files": op9_token_files,
