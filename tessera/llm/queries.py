@@ -27,6 +27,17 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document; trained without the rows whose crc32(doc_id) mod 4 is 2."""
+    from tessera.llm import op5_quality as op
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = op.train(docs, table(spark, sf_dir, "labels"), ~held)
+    out = op.classify(docs, model, keep=["doc_id"])
+    return out.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to dictionary-compressed archives and read back from them."""
     from tessera.llm import op7_warc as op
@@ -49,6 +60,7 @@ def queries() -> dict:
     return {
         "op1_html": op1_html,
         "op3_language": op3_language,
+        "op5_quality": op5_quality,
         "op7_warc": op7_warc,
         "op9_token_files": op9_token_files,
     }
