@@ -27,6 +27,24 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the shard that holds it after two arrivals and a compaction."""
+    from tessera.llm import op4_compaction as op
+    from tessera.llm.store import fresh_path
+
+    docs = table(spark, sf_dir, "documents")
+    store = op.ShardStore(spark, fresh_path(spark, "shards"))
+    late = F.pmod(F.xxhash64("source"), F.lit(4)) == 0
+    for arrival in (~late, late):
+        store.append(docs.where(arrival))
+    store.compact()
+    store.vacuum()
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    rows = store.read().select("doc_id", F.col("n_chars"), name(F.input_file_name()).alias("file"))
+    shards = store.shards().withColumn("file", name(F.col("path")))
+    return rows.join(shards, "file").select("doc_id", "n_chars", "shard_id", "shard_rows", "shard_bytes", "version")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document; trained without the rows whose crc32(doc_id) mod 4 is 2."""
     from tessera.llm import op5_quality as op
@@ -38,6 +56,28 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
 
 
+def op6_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every document and its edited text."""
+    from tessera.llm import op6_merkle as op
+
+    rows = op.with_next(table(spark, sf_dir, "documents"), "doc_id", "text", "next")
+    n = F.char_length("text")
+    half = F.floor(n / 2).cast("int")
+    edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next", F.lit(1), half))
+    rows = rows.select("doc_id", "text", edited.alias("edited"), n.cast("long").alias("n_chars"), op.leaf_set(F.col("next")).alias("next_leaves"))
+    rows = op.fingerprints(rows, "text", "fingerprint", "leaves")
+    rows = op.fingerprints(rows, "edited", "edited_fingerprint", "edited_leaves")
+    return rows.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        op.likeness(F.col("leaves"), F.col("edited_leaves")).alias("near_edited"),
+        op.likeness(F.col("leaves"), F.col("next_leaves")).alias("near_next"),
+    )
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to dictionary-compressed archives and read back from them."""
     from tessera.llm import op7_warc as op
@@ -60,7 +100,9 @@ def queries() -> dict:
     return {
         "op1_html": op1_html,
         "op3_language": op3_language,
+        "op4_compaction": op4_compaction,
         "op5_quality": op5_quality,
+        "op6_merkle": op6_merkle,
         "op7_warc": op7_warc,
         "op9_token_files": op9_token_files,
     }
