@@ -16,6 +16,13 @@ def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op2_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    from tessera.llm import op2_near as op
+
+    return op.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; trained without the rows whose crc32(doc_id) mod 3 is 1."""
     from tessera.llm import op3_language as op
@@ -99,6 +106,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_html": op1_html,
+        "op2_near": op2_near,
         "op3_language": op3_language,
         "op4_compaction": op4_compaction,
         "op5_quality": op5_quality,
