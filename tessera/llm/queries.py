@@ -103,6 +103,13 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.read_segments(segments, freq)
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items that documents leak."""
+    from tessera.llm import op10_decontaminate as op
+
+    return op.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict:
     return {
         "op1_html": op1_html,
@@ -113,6 +120,7 @@ def queries() -> dict:
         "op6_merkle": op6_merkle,
         "op7_warc": op7_warc,
         "op9_token_files": op9_token_files,
+        "op10_decontaminate": op10_decontaminate,
     }
 
 
