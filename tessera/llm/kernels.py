@@ -95,15 +95,9 @@ class Words:
         return np.searchsorted(self.doc, np.arange(len(self.offsets)))
 
 
-def words(column: pa.Array, lower: bool = True, punctuation: bool = False) -> Words:
-    """Words are runs of bytes above the ASCII space (with ``punctuation``: of letters, digits and non-ASCII)."""
-    data, offsets = text_bytes(column, lower)
+def _spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, first: np.ndarray, last: np.ndarray) -> Words:
+    """Words from the flags of their first and last bytes, cut where texts meet."""
     n = len(data)
-    inside = np.zeros(n + 1, bool)
-    np.logical_not(_GAPS[punctuation][data], out=inside[:n])
-    first = inside[:n].copy()
-    first[1:] &= ~inside[: n - 1]
-    last = inside[:n] & ~inside[1:]
     edges = offsets[1:-1]
     edges = edges[(edges > 0) & (edges < n)]
     first[edges] = inside[edges]
@@ -117,6 +111,46 @@ def words(column: pa.Array, lower: bool = True, punctuation: bool = False) -> Wo
     return Words(data, offsets, start, end, doc, mix(code + (end - start).astype(np.uint64)))
 
 
+def words(column: pa.Array, lower: bool = True, punctuation: bool = False) -> Words:
+    """Words are runs of bytes above the ASCII space (with ``punctuation``: of letters, digits and non-ASCII)."""
+    data, offsets = text_bytes(column, lower)
+    n = len(data)
+    inside = np.zeros(n + 1, bool)
+    np.logical_not(_GAPS[punctuation][data], out=inside[:n])
+    first = inside[:n].copy()
+    first[1:] &= ~inside[: n - 1]
+    last = inside[:n] & ~inside[1:]
+    return _spans(data, offsets, inside, first, last)
+
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Byte kinds: 0 gap, 1 letter, 2 digit, 3 punctuation, 4 apostrophe, 5 beyond ASCII.
+_KIND = np.array([0 if b < 33 else 5 if b > 127 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 4 if b == 39 else 3 for b in range(256)], np.uint8)
+_CUTS = np.zeros((6, 6), bool)
+_CUTS[1, 2:5] = _CUTS[2, [1, 3, 4]] = _CUTS[3, 1:3] = True
+
+
+def pieces(column: pa.Array) -> Words:
+    """Words with ASCII letters in lower case, also cut between ASCII letters, digits and punctuation.
+
+    No cut follows an apostrophe or stands beside a non-ASCII byte, so a tokenizer
+    that lower-cases and separates letters, digits and symbols yields the same ids
+    for the pieces as for the text.
+    """
+    data, offsets = text_bytes(column)
+    data = _LOWER[data]
+    n = len(data)
+    kind = np.zeros(n + 1, np.uint8)
+    kind[:n] = _KIND[data]
+    inside = kind > 0
+    cut = _CUTS.ravel()[kind[: n - 1] * np.uint8(6) + kind[1:n]] if n > 1 else np.empty(0, bool)
+    first, last = inside[:n].copy(), inside[:n] & ~inside[1:]
+    first[1:] &= ~inside[: n - 1] | cut
+    last[: n - 1] |= cut
+    return _spans(data, offsets, inside, first, last)
+
+
 def shingles(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of each run of ``size`` words; a text of fewer words has one shingle of them all."""
     n = len(w.hash)

@@ -93,6 +93,20 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document, and whether they decode to it."""
+    import public_tokenizers
+
+    from tessera.llm import op8_pieces as op
+
+    vocabulary = op.load(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = op.encode(table(spark, sf_dir, "documents"), vocabulary, keep=["doc_id", "text"])
+    read = op.decode(coded, vocabulary)
+    same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(op.MARKER), F.lit(" "))
+    n = (F.octet_length("pieces") / 4).cast("long")
+    return read.select("doc_id", n.alias("n_pieces"), F.crc32("pieces").alias("pieces_crc32"), F.char_length("decoded").cast("long").alias("n_chars_decoded"), same.alias("round_trip"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, written as range-coded segments and read back."""
     import public_tokenizers
@@ -119,6 +133,7 @@ def queries() -> dict:
         "op5_quality": op5_quality,
         "op6_merkle": op6_merkle,
         "op7_warc": op7_warc,
+        "op8_pieces": op8_pieces,
         "op9_token_files": op9_token_files,
         "op10_decontaminate": op10_decontaminate,
     }
