@@ -6,12 +6,13 @@ then code the ids.  A segment row
 holds whole documents, about ``SEGMENT`` ids: their keys and lengths, and
 independent blocks with lanes, checkpoints and checksums (see
 ``tessera.llm.rans``).  Segments are values of a Parquet table, written by
-Spark's committer, so a lost executor leaves no half file; ``shard`` and ``seq``
+Spark's committer, so a lost executor leaves no half file; ``shard`` and ``place``
 give their order.
 
-Texts are tokenised by the tokenizers library.  White space always ends a
-pre-token of the vocabulary in use, so each distinct white-space-separated word
-is encoded by the library once and its ids are reused.
+Texts are tokenised by the tokenizers library.  The vocabulary in use lower-cases,
+and its pre-tokens end at white space and between letters, digits and symbols, so
+each distinct piece of that kind is encoded by the library once and its ids are
+reused, by all tasks of a Python worker.
 
 Edge cases: null or empty text has the end id alone; null keys come first;
 repeated keys stay next to each other, ordered by their text; an empty table gives
@@ -30,74 +31,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.kernels import slices, words
+from tessera.llm.cache import SpanCache
+from tessera.llm.kernels import pieces, slices
 from tessera.llm.ranges import boundaries, range_of
 from tessera.llm.rans import CHECKPOINT, LANES, Coder, quantise
 from tessera.llm.store import settle, ship
 
 SEGMENT = 1 << 20
-#: Words a task remembers before it starts anew.
-REMEMBERED = 400_000
+#: Pieces a worker remembers before it starts anew.
+REMEMBERED = 700_000
+_CACHES: dict[str, SpanCache] = {}
 _HEAD = struct.Struct("<4sHHII")
 _BLOCK = struct.Struct("<IIIII")
 
 
-class WordCache:
-    """Ids of texts through the library, each distinct word once."""
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[int, int] = {}
-        self.ids = np.empty(1 << 20, np.uint32)
-        self.used = 0
-        self.at, self.size = np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64)
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.encode(texts, add_special_tokens=False)):
-            ids, k = e.ids, len(self.place)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + len(ids), np.uint32)])
-            if k == len(self.at):
-                self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k], self.place[h] = self.used, len(ids), k
-            self.used += len(ids)
-
-    def __call__(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by ``end``, and the number of ids of each text."""
-        if len(self.place) > REMEMBERED:
-            self.clear()
-        w = words(column, lower=False)
-        n = len(w.offsets) - 1
-        uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        get = self.place.get
-        got = np.array([get(h, -1) for h in uniq.tolist()], np.int64)
-        new = np.flatnonzero(got < 0)
-        if len(new):
-            data = w.data.tobytes()
-            s, e = w.start[first[new]].tolist(), w.end[first[new]].tolist()
-            self._learn(uniq[new].tolist(), [data[a:b].decode() for a, b in zip(s, e)])
-            got[new] = np.arange(len(self.place) - len(new), len(self.place))
-        place = got[inverse] if len(got) else np.empty(0, np.int64)
-        size = self.size[place]
-        total = np.bincount(w.doc, size, n).astype(np.int64) + 1
-        ends = np.cumsum(total)
-        out = np.full(int(ends[-1]) if n else 0, end, np.uint32)
-        into = np.ones(len(out), bool)
-        into[ends - 1] = False
-        source = np.repeat(self.at[place] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-        out[into] = self.ids[source]
-        return out, total
+def library_cache(path: str) -> SpanCache:
+    """Ids of pieces through the tokenizers library."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(path).encode_batch_fast
+    return SpanCache(lambda spans: [e.ids for e in encode([s.decode() for s in spans], add_special_tokens=False)], REMEMBERED)
+
+
+def cached(path: str) -> SpanCache:
+    if path not in _CACHES:
+        _CACHES[path] = library_cache(path)
+    return _CACHES[path]
 
 
 def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataFrame:
-    """Table of (shard, seq, k, n_tokens, ids), ascending in k: ids as little-endian integers, ending with ``end``."""
+    """Table of (shard, seq, place, k, n_tokens, ids), ascending in k; place: ids of the shard before; ids as little-endian integers, ending with ``end``."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
@@ -107,10 +71,10 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataF
     bounds = boundaries(docs, key, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, seq = WordCache(path), -1, 0
+        cache, shard, seq, before = cached(path), -1, 0, 0
         for batch in batches:
             for part in slices(batch, "t", 2 << 20):
-                ids, total = cache(part.column("t"), end)
+                ids, total = cache(pieces(part.column("t")), end)
                 ends = np.concatenate([[0], np.cumsum(total) * int(kind[2])]).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])
                 shards = part.column("shard").to_numpy()
@@ -118,12 +82,17 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataF
                 nth = np.arange(len(shards)) - np.repeat(starts, np.diff(np.append(starts, len(shards))))
                 if shards[0] == shard:
                     nth[: starts[1] if len(starts) > 1 else None] += seq
-                shard, seq = shards[-1], nth[-1] + 1
-                yield pa.RecordBatch.from_arrays([part.column("shard"), pa.array(nth), part.column("k"), pa.array(total), packed], ["shard", "seq", "k", "n_tokens", "ids"])
+                ends_at = np.cumsum(total)
+                begin = ends_at - total
+                place = begin - np.repeat(begin[starts], np.diff(np.append(starts, len(shards))))
+                if shards[0] == shard:
+                    place[: starts[1] if len(starts) > 1 else None] += before
+                shard, seq, before = shards[-1], nth[-1] + 1, place[-1] + total[-1]
+                yield pa.RecordBatch.from_arrays([part.column("shard"), pa.array(nth), pa.array(place), part.column("k"), pa.array(total), packed], ["shard", "seq", "place", "k", "n_tokens", "ids"])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
     rows = rows.withColumn("shard", range_of(F.col("k"), bounds)).repartition(n, "shard").sortWithinPartitions("shard", "k", "t")
-    return settle(rows.mapInArrow(run, "shard int, seq long, k long, n_tokens long, ids binary"), "ids")
+    return settle(rows.mapInArrow(run, "shard int, seq long, place long, k long, n_tokens long, ids binary"), "ids")
 
 
 def count_ids(ids: DataFrame, vocabulary: int) -> np.ndarray:
@@ -183,7 +152,7 @@ def unpack_segment(coder: Coder, data: bytes) -> tuple[np.ndarray, np.ndarray, n
 
 
 def write_segments(ids: DataFrame, freq: np.ndarray) -> DataFrame:
-    """The ids as coded segments (shard, seq, n_docs, n_tokens, data), in the order of ``ids``."""
+    """The ids as coded segments (shard, place, n_docs, n_tokens, data), in the order of ``ids``."""
     ship(ids.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,12 +161,12 @@ def write_segments(ids: DataFrame, freq: np.ndarray) -> DataFrame:
         size = 0
 
         def flush() -> pa.RecordBatch:
-            keys = np.array([x[2] or 0 for x in held], np.int64)
-            nulls = np.array([x[2] is None for x in held])
-            lengths = np.array([x[3] for x in held], np.int64)
-            joined = b"".join(x[4] for x in held)
+            keys = np.array([x[3] or 0 for x in held], np.int64)
+            nulls = np.array([x[3] is None for x in held])
+            lengths = np.array([x[4] for x in held], np.int64)
+            joined = b"".join(x[5] for x in held)
             data = pack_segment(coder, keys, nulls, lengths, np.frombuffer(joined, f"<u{len(joined) // size}").astype(np.uint32))
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((held[0][0], pa.int32()), (held[0][1], pa.int64()), (len(held), pa.int64()), (size, pa.int64()), (data, pa.binary()))], ["shard", "seq", "n_docs", "n_tokens", "data"])
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((held[0][0], pa.int32()), (held[0][2], pa.int64()), (len(held), pa.int64()), (size, pa.int64()), (data, pa.binary()))], ["shard", "place", "n_docs", "n_tokens", "data"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
@@ -205,13 +174,13 @@ def write_segments(ids: DataFrame, freq: np.ndarray) -> DataFrame:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
-                size += row[3]
+                size += row[4]
         if held:
             yield flush()
 
     # Files are read in row order, so a task's rows are runs of consecutive documents of a shard.
-    rows = ids.select("shard", "seq", "k", "n_tokens", "ids")
-    return settle(rows.mapInArrow(run, "shard int, seq long, n_docs long, n_tokens long, data binary"), "segments", "uncompressed")
+    rows = ids.select("shard", "seq", "place", "k", "n_tokens", "ids")
+    return settle(rows.mapInArrow(run, "shard int, place long, n_docs long, n_tokens long, data binary"), "segments", "uncompressed")
 
 
 def read_segments(segments: DataFrame, freq: np.ndarray, with_ids: bool = False) -> DataFrame:
@@ -220,10 +189,7 @@ def read_segments(segments: DataFrame, freq: np.ndarray, with_ids: bool = False)
     # One row a shard, at most as many as shuffle partitions: the places where shards start.
     shards = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     begins = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("begin"))
-    within = F.sum("n_tokens").over(Window.partitionBy("shard").orderBy("seq")) - F.col("n_tokens")
-    places = segments.select("shard", "seq", within.alias("within"))
-    placed = places.join(F.broadcast(begins), "shard").select("shard", "seq", (F.col("begin") + F.col("within")).alias("start"))
-    rows = segments.join(placed, ["shard", "seq"]).select("start", "data")
+    rows = segments.join(F.broadcast(begins), "shard").select((F.col("begin") + F.col("place")).alias("start"), "data")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
