@@ -27,6 +27,7 @@ from tessera.config import SAMPLE_ROWS, Settings
 
 from tessera.functions import tokens as t
 from tessera.operators import encode, mine, parse, profile
+from tessera.plans import workspace
 
 
 # LEB128 -----------------------------------------------------------------------------------------------------------
@@ -184,13 +185,15 @@ def unpack_files(data: bytes) -> dict[str, bytes]:
 
 def write_archives(lines: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(chunk_id, content): the .tar.xz of each chunk.  Empty lines are not kept, as the format has none."""
+    workspace.ship(lines.sparkSession)
     rows = lines.where(F.coalesce(F.col("line"), F.lit("")) != "")
-    toks = parse.tokenised(rows)
+    # Tables that several branches read are written once.
+    toks = workspace.settle(parse.tokenised(rows), "tokens")
     variables = toks.select("chunk_id", "row_no", F.inline(t.variables(F.col("toks"))))
     distinct = parse.distinct_composites(variables)
-    rules = mine.mined(distinct, settings)
+    rules = workspace.settle(mine.mined(distinct, settings), "rules")
     columns = mine.pattern_columns(rules)
-    ids = encode.dictionary(variables, rules, columns, profile.slot_stats(profile.slot_values(distinct)))
+    ids = workspace.settle(encode.dictionary(variables, rules, columns, profile.slot_stats(profile.slot_values(distinct))), "dictionary")
     pats = ids.select("chunk_id", "id", F.col("token").alias("pattern"))
     named = rules.select("chunk_id", "tok", "pattern", "vals").join(pats, ["chunk_id", "pattern"]).select("chunk_id", "tok", F.col("id").alias("pid"), "vals")
     comp = variables.where("cls = 'comp'").join(named, ["chunk_id", "tok"]).select("chunk_id", "row_no", "pos", "cls", "tok", F.col("pid").alias("id"), "vals")
@@ -316,6 +319,7 @@ def restore_chunk(content: bytes) -> list[str]:
 
 def read_archives(archives: DataFrame) -> DataFrame:
     """(chunk_id, line_no, line) of all archives."""
+    workspace.ship(archives.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -328,6 +332,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
 def read_numbers(archives: DataFrame) -> DataFrame:
     """(chunk_id, len, seq, value) of the number streams."""
+    workspace.ship(archives.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
