@@ -43,7 +43,7 @@ BANDS, ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-6
 HASHES = BANDS * ROWS
 BLOCK = 1024
 #: Pairs compared at once, rows of units held at once.
-PAIRS, HELD = 1 << 17, 4096
+PAIRS, HELD = 1 << 16, 2048
 
 _SEED = mix(np.arange(1, 2 * HASHES + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FLIP, _MULT = (_SEED[:HASHES] >> np.uint64(32)).astype(np.uint32), (_SEED[HASHES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -223,7 +223,8 @@ def exact_links(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndar
 def verified(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """(rep, other, links): links of a document that a unit found, and another document of its tree there."""
     texts = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text"))
-    rows = found.join(texts, "rep").repartition("unit").sortWithinPartitions("unit", "rep")
+    # The candidates grow with the corpus, so at no size is their side broadcast: both are dealt by document.
+    rows = found.hint("merge").join(texts, "rep").repartition("unit").sortWithinPartitions("unit", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _runs(batches, ("unit",)):
