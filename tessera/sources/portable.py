@@ -293,10 +293,10 @@ def restore_chunk(content: bytes) -> list[str]:
         widths = [int(x) for x in m[3].split("_")]
         if m[2]:
             ends = [sum(widths[: i + 1]) for i in range(len(widths))]
-            rows[int(m[1])] = ([f"{v:0{ends[-1]}d}"[e - w : e] for w, e in zip(widths, ends)] for v in read_joined(data))
+            rows[int(m[1])] = iter([[f"{v:0{ends[-1]}d}"[e - w : e] for w, e in zip(widths, ends)] for v in read_joined(data)])
         else:
             show = lambda v, w: (words[v >> 1] if v >> 1 < len(words) else f"<unknown_token:{v >> 1}>") if v & 1 else f"{v >> 1:0{max(w, 1)}d}"
-            rows[int(m[1])] = ([show(v, w) for v, w in zip(r, widths)] for r in zip(*read_matrix(data)))
+            rows[int(m[1])] = iter([[show(v, w) for v, w in zip(r, widths)] for r in zip(*read_matrix(data))])
 
     def value(m: re.Match) -> str:
         if m[2]:
