@@ -38,7 +38,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 3 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose ``column`` holds about ``most`` bytes."""
     if batch.num_rows == 0:
         return
@@ -125,8 +125,8 @@ def words(column: pa.Array, lower: bool = True, punctuation: bool = False) -> Wo
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Byte kinds: 0 gap, 1 letter, 2 digit, 3 punctuation, 4 apostrophe, 5 beyond ASCII.
-_KIND = np.array([0 if b < 33 else 5 if b > 127 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 4 if b == 39 else 3 for b in range(256)], np.uint8)
+#: Byte kinds: 0 white space, 1 letter, 2 digit, 3 punctuation, 4 apostrophe, 5 beyond ASCII.
+_KIND = np.array([0 if b in (9, 10, 11, 12, 13, 32) else 5 if b > 127 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 4 if b == 39 else 3 for b in range(256)], np.uint8)
 _CUTS = np.zeros((6, 6), bool)
 _CUTS[1, 2:5] = _CUTS[2, [1, 3, 4]] = _CUTS[3, 1:3] = True
 

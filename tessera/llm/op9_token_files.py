@@ -14,7 +14,7 @@ and its pre-tokens end at white space and between letters, digits and symbols, s
 each distinct piece of that kind is encoded by the library once and its ids are
 reused, by all tasks of a Python worker.
 
-Edge cases: null or empty text has the end id alone; null keys come first;
+Edge cases: names of special tokens in a text are ordinary text; null or empty text has the end id alone; null keys come first;
 repeated keys stay next to each other, ordered by their text; an empty table gives
 empty files.  Extra columns are ignored.
 """
@@ -50,7 +50,9 @@ def library_cache(path: str) -> SpanCache:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    encode = Tokenizer.from_file(path).encode_batch_fast
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+    encode = tokenizer.encode_batch_fast
     return SpanCache(lambda spans: [e.ids for e in encode([s.decode() for s in spans], add_special_tokens=False)], REMEMBERED)
 
 
@@ -73,7 +75,7 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, shard, seq, before = cached(path), -1, 0, 0
         for batch in batches:
-            for part in slices(batch, "t", 2 << 20):
+            for part in slices(batch, "t"):
                 ids, total = cache(pieces(part.column("t")), end)
                 ends = np.concatenate([[0], np.cumsum(total) * int(kind[2])]).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])

@@ -37,7 +37,7 @@ def quantise(counts: np.ndarray) -> np.ndarray:
         if gap > 0:
             freq[order[0]] += gap
             break
-        room = freq[order] - 1
+        room = np.maximum(freq[order] - 1, 0)
         cut = np.minimum(room, -(gap // max(1, (room > 0).sum())))
         spent = np.cumsum(cut)
         cut[spent > -gap] = 0
