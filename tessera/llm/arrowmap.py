@@ -19,7 +19,7 @@ def add_columns(
     fields: list[T.StructField],
     make: Callable[[], Callable[[pa.Array], list]],
     keep: list[str] | None = None,
-    most: int = 3 << 20,
+    most: int = 1 << 20,
 ) -> DataFrame:
     """``df`` (or its ``keep`` columns) with the columns that ``make()(texts)`` computes from ``column``.
 

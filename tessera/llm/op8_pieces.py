@@ -289,7 +289,7 @@ def encode(docs: DataFrame, v: Vocabulary, text: str = "text", into: str = "piec
 
         return run
 
-    return add_columns(docs, text, [T.StructField(into, T.BinaryType())], make, keep, most=2 << 20)
+    return add_columns(docs, text, [T.StructField(into, T.BinaryType())], make, keep, most=1 << 20)
 
 
 def decode(coded: DataFrame, v: Vocabulary, pieces: str = "pieces", into: str = "decoded", keep: list[str] | None = None) -> DataFrame:
@@ -323,4 +323,4 @@ def decode(coded: DataFrame, v: Vocabulary, pieces: str = "pieces", into: str =
 
         return run
 
-    return add_columns(coded, pieces, [T.StructField(into, T.StringType())], make, keep, most=4 << 20)
+    return add_columns(coded, pieces, [T.StructField(into, T.StringType())], make, keep, most=1 << 20)

@@ -7,37 +7,17 @@ every machine of a cluster shares.  Only where a session has no such setting
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN_DIR: dict[str, str] = {}
-_SHIPPED: set[str] = set()
-
+from tessera.plans import workspace
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN_DIR:
-        _OWN_DIR[app] = tempfile.mkdtemp(prefix="tessera-")
-    return "file://" + _OWN_DIR[app]
+#: Rows of an Arrow batch, unless the session says otherwise.
+BATCH_ROWS = 2_000
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing uses; it goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(hadoop)
-    fs.deleteOnExit(hadoop)
-    return path
+    return workspace.fresh_path(spark, name)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -52,22 +32,14 @@ def settle(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = fresh_path(spark, name)
     df.write.mode("overwrite").option("compression", codec).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
     return out
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each application."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    bundle = Path(tempfile.mkdtemp(prefix="tessera-code-")) / "tessera_code.zip"
-    with zipfile.ZipFile(bundle, "w", zipfile.ZIP_DEFLATED) as out:
-        for file in sorted(root.rglob("*.py")):
-            out.write(file, f"{root.name}/{file.relative_to(root)}")
-    spark.sparkContext.addPyFile(str(bundle))
-    _SHIPPED.add(app)
+    """Send the package to the Python workers; texts are long, so Arrow batches get fewer rows than by default."""
+    workspace.ship(spark)
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
