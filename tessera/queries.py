@@ -50,9 +50,14 @@ def _values(lines: DataFrame) -> DataFrame:
     return profile.slot_values(_distinct(lines))
 
 
+def _settled(lines: DataFrame) -> DataFrame:
+    """Distinct composites, written once: mining reads them on several branches, and they are far fewer than the lines."""
+    return workspace.settle(_distinct(lines), "distinct")
+
+
 def _rules(lines: DataFrame) -> DataFrame:
     """Mined rules, written once: they are read by several branches of a plan."""
-    return workspace.settle(mine.mined(_distinct(lines)), "rules")
+    return workspace.settle(mine.mined(_settled(lines)), "rules")
 
 
 def tokenize_documents(spark, sf_dir):
@@ -165,24 +170,24 @@ def constant_slots(spark, sf_dir):
 
 
 def split_plan(spark, sf_dir):
-    plan = mine.split_plan(_values(order_lines(spark, sf_dir)))
+    plan = mine.split_plan(profile.slot_values(_settled(order_lines(spark, sf_dir))))
     return plan.select("chunk_id", "skeleton", "rows", "n_varying", "mode", "best_slot", F.array_join("split_values", "|").alias("split_values"))
 
 
 def split_rows_semi(spark, sf_dir):
-    d = _distinct(order_lines(spark, sf_dir))
+    d = _settled(order_lines(spark, sf_dir))
     rows = mine.assigned(d, mine.split_plan(profile.slot_values(d)))
     return rows.where("split_value is not null").select("chunk_id", "tok", "split_value", "n")
 
 
 def remainder_rows_anti(spark, sf_dir):
-    d = _distinct(order_lines(spark, sf_dir))
+    d = _settled(order_lines(spark, sf_dir))
     rows = mine.assigned(d, mine.split_plan(profile.slot_values(d)))
     return rows.where("mode like 'split%' and split_value is null").select("chunk_id", "tok", "n")
 
 
 def split_constant_fold(spark, sf_dir):
-    d = _distinct(order_lines(spark, sf_dir))
+    d = _settled(order_lines(spark, sf_dir))
     v = profile.slot_values(d)
     fills = mine.group_fills(mine.assigned(d, mine.split_plan(v)), v)
     shown = F.array_join(F.transform("fill", lambda x: F.coalesce(x, F.lit(t.HOLE))), "|")
@@ -190,12 +195,12 @@ def split_constant_fold(spark, sf_dir):
 
 
 def final_patterns(spark, sf_dir):
-    rules = mine.mined(_distinct(order_lines(spark, sf_dir)))
+    rules = mine.mined(_settled(order_lines(spark, sf_dir)))
     return rules.groupBy("chunk_id", "pattern", "mode").agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_tokens"), F.min(F.size("vals")).alias("n_cols"))
 
 
 def pattern_column_types(spark, sf_dir):
-    return mine.pattern_columns(mine.mined(_distinct(event_lines(spark, sf_dir))))
+    return mine.pattern_columns(mine.mined(_settled(event_lines(spark, sf_dir))))
 
 
 def _event_instances(spark, sf_dir):
@@ -236,16 +241,17 @@ def lsb_delta_decode(spark, sf_dir):
 
 def pattern_dictionary(spark, sf_dir):
     lines = order_lines(spark, sf_dir)
-    d = _distinct(lines)
-    rules = _rules(lines)
+    d = _settled(lines)
+    rules = workspace.settle(mine.mined(d), "rules")
     return encode.dictionary(_variables(lines), rules, mine.pattern_columns(rules), profile.slot_stats(profile.slot_values(d)))
 
 
 def matrix_codes(spark, sf_dir):
     lines = order_lines(spark, sf_dir)
-    rules, v = _rules(lines), _variables(lines)
+    d, v = _settled(lines), _variables(lines)
+    rules = workspace.settle(mine.mined(d), "rules")
     columns = mine.pattern_columns(rules)
-    ids = encode.dictionary(v, rules, columns, profile.slot_stats(_values(lines)))
+    ids = workspace.settle(encode.dictionary(v, rules, columns, profile.slot_stats(profile.slot_values(d))), "dictionary")
     return encode.matrix_codes(encode.instances(mine.pattern_rows(v, rules)), columns, ids)
 
 

@@ -190,7 +190,7 @@ def write_archives(lines: DataFrame, settings: Settings = Settings()) -> DataFra
     # Tables that several branches read are written once.
     toks = workspace.settle(parse.tokenised(rows), "tokens")
     variables = toks.select("chunk_id", "row_no", F.inline(t.variables(F.col("toks"))))
-    distinct = parse.distinct_composites(variables)
+    distinct = workspace.settle(parse.distinct_composites(variables), "distinct")
     rules = workspace.settle(mine.mined(distinct, settings), "rules")
     columns = mine.pattern_columns(rules)
     ids = workspace.settle(encode.dictionary(variables, rules, columns, profile.slot_stats(profile.slot_values(distinct))), "dictionary")
