@@ -11,6 +11,11 @@ def chunked(lines: DataFrame, chunk_lines: int) -> DataFrame:
     return lines.select(F.floor(F.col("row_no") / chunk_lines).cast("int").alias("chunk_id"), "row_no", "line")
 
 
+def row_range(lines: DataFrame, first: int, last: int) -> DataFrame:
+    """Rows from ``first`` up to, not with, ``last``; on an archive the row statistics of the files prune."""
+    return lines.where((F.col("row_no") >= first) & (F.col("row_no") < last))
+
+
 def text_lines(spark: SparkSession, path: str, chunk_lines: int) -> DataFrame:
     """Lines of text files, numbered over all files in path order.
 
