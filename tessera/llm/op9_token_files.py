@@ -9,10 +9,10 @@ independent blocks with lanes, checkpoints and checksums (see
 Spark's committer, so a lost executor leaves no half file; ``shard`` and ``place``
 give their order.
 
-Texts are tokenised by the tokenizers library.  The vocabulary in use lower-cases,
-and its pre-tokens end at white space and between letters, digits and symbols, so
-each distinct piece of that kind is encoded by the library once and its ids are
-reused, by all tasks of a Python worker.
+Texts are tokenised by the tokenizers library.  Where a vocabulary lower-cases and
+its pre-tokens end at white space and between letters, digits and symbols (probe
+texts tell), each distinct piece of that kind is encoded by the library once and its
+ids are reused by all tasks of a Python worker; other vocabularies encode whole texts.
 
 Edge cases: names of special tokens in a text are ordinary text; null or empty text has the end id alone; null keys come first;
 repeated keys stay next to each other, ordered by their text; an empty table gives
@@ -40,25 +40,39 @@ from tessera.llm.store import settle, ship
 SEGMENT = 1 << 20
 #: Pieces a worker remembers before it starts anew.
 REMEMBERED = 700_000
-_CACHES: dict[str, SpanCache] = {}
+_CACHES: dict[str, Encoder] = {}
 _HEAD = struct.Struct("<4sHHII")
 _BLOCK = struct.Struct("<IIIII")
 
 
-def library_cache(path: str) -> SpanCache:
-    """Ids of pieces through the tokenizers library."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts through the tokenizers library: by cached pieces where the vocabulary allows it, else of whole texts."""
+
+    PROBES = ("It's 12,345 o'clock!", "x<|endoftext|>y ###a9'LL", "  Ünïcode»,«ß 中文,1é2 '", "a_b-c\n\n\td  (e)... f's't")
+
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
+        encode = tokenizer.encode_batch_fast
+        self.encode = lambda texts: [e.ids for e in encode(texts, add_special_tokens=False)]
+        self.cache = SpanCache(lambda spans: self.encode([s.decode() for s in spans]), REMEMBERED)
+        by_piece = self.cache(pieces(pa.array(self.PROBES)))[0].tolist()
+        self.cut = by_piece == [i for ids in self.encode(list(self.PROBES)) for i in ids]
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-    encode = tokenizer.encode_batch_fast
-    return SpanCache(lambda spans: [e.ids for e in encode([s.decode() for s in spans], add_special_tokens=False)], REMEMBERED)
+    def __call__(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, each text's followed by ``end``, and the number of ids of each text."""
+        if self.cut:
+            return self.cache(pieces(column), end)
+        made = [np.array([*ids, end], np.uint32) for ids in self.encode([x or "" for x in column.to_pylist()])]
+        return np.concatenate([np.empty(0, np.uint32), *made]), np.array([len(m) for m in made], np.int64)
 
 
-def cached(path: str) -> SpanCache:
+def cached(path: str) -> Encoder:
     if path not in _CACHES:
-        _CACHES[path] = library_cache(path)
+        _CACHES[path] = Encoder(path)
     return _CACHES[path]
 
 
@@ -73,10 +87,10 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataF
     bounds = boundaries(docs, key, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shard, seq, before = cached(path), -1, 0, 0
+        encode, shard, seq, before = cached(path), -1, 0, 0
         for batch in batches:
             for part in slices(batch, "t"):
-                ids, total = cache(pieces(part.column("t")), end)
+                ids, total = encode(part.column("t"), end)
                 ends = np.concatenate([[0], np.cumsum(total) * int(kind[2])]).astype(np.int32)
                 packed = pa.Array.from_buffers(pa.binary(), len(total), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype(kind))])
                 shards = part.column("shard").to_numpy()

@@ -398,6 +398,18 @@ def test_token_files(spark, odd, none):
     assert op9_token_files.read_segments(*empty).count() == 0
 
 
+def test_other_vocabularies_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    texts = ["Hello  world", "", None, "It's 5"]
+    for name, cut in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        encoder = op9_token_files.Encoder(public.path(name))
+        library = Tokenizer.from_file(public.path(name))
+        ids, n = encoder(pa.array(texts), 1)
+        assert encoder.cut == cut
+        assert ids.tolist() == [i for x in texts for i in [*library.encode(x or "", add_special_tokens=False).ids, 1]] and n.sum() == len(ids)
+
+
 # 10 ----------------------------------------------------------------------------------------------------------------
 
 
