@@ -41,7 +41,7 @@ from tessera.llm.store import settle, ship
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-6
 HASHES = BANDS * ROWS
-BLOCK = 1024
+BLOCK = 512
 #: Pairs compared at once, rows of units held at once.
 PAIRS, HELD = 1 << 16, 2048
 

@@ -118,7 +118,7 @@ def brute_force(rows):
     return {k: (reps[t or ""], top(reps[t or ""]), links[reps[t or ""]]) for k, t in rows}
 
 
-@pytest.mark.parametrize("block", [1024, 8])
+@pytest.mark.parametrize("block", [512, 8])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(op2_near, "BLOCK", block)
     rng = random.Random(9)
