@@ -84,7 +84,8 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataF
     ship(spark)
     kind = "<u2" if max(Tokenizer.from_file(path).get_vocab_size() - 1, end) < 1 << 16 else "<u4"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = boundaries(docs, key, n)
+    # Several ranges a partition: their sizes even out.
+    bounds = boundaries(docs, key, 4 * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, seq, before = cached(path), -1, 0, 0
@@ -202,7 +203,7 @@ def write_segments(ids: DataFrame, freq: np.ndarray) -> DataFrame:
 def read_segments(segments: DataFrame, freq: np.ndarray, with_ids: bool = False) -> DataFrame:
     """Rows (doc_id, start, n_tokens, ids_crc32[, ids]) as the files have them."""
     ship(segments.sparkSession)
-    # One row a shard, at most as many as shuffle partitions: the places where shards start.
+    # One row a shard, at most MOST_RANGES: the places where shards start.
     shards = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     begins = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("begin"))
     rows = segments.join(F.broadcast(begins), "shard").select((F.col("begin") + F.col("place")).alias("start"), "data")
