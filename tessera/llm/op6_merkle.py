@@ -85,7 +85,7 @@ def with_next(docs: DataFrame, key: str, text: str, into: str) -> DataFrame:
     to the range before, so each range finds its rows' successors by itself.
     """
     spark = docs.sparkSession
-    bounds = boundaries(docs, key, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bounds = boundaries(docs, key, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.col(key).alias("k"), F.coalesce(F.col(key).cast("long"), F.lit(LEAST_KEY)).alias("o"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.withColumn("r", range_of(F.col("o"), bounds))
     # One number for each range, of which there are at most MOST_RANGES.
