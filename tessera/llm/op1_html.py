@@ -10,10 +10,13 @@
    built over chunks of at most ``CHUNK`` tokens; starts that are unique within
    their chunk are resolved against the other chunks' classes by an equi-join, so
    the cover is that of one array over the whole host, however large.
-3. A page with main blocks yields these: article text that recurs on other pages
-   (copies, quotes) is content, not boilerplate.  A page without them yields its
-   open blocks less the words that repeated substrings cover; if they cover all,
-   the page is itself a copy and its open blocks stay.
+3. A page with main blocks yields these, less the whole blocks that stand on more
+   than half of the host's distinct main texts, and on ``MAIN_PAGES`` at least (see
+   :func:`common_blocks`); if they are the larger part of the page, it is itself a
+   copy and all stay.  Other article text that recurs (copies, quotes) is content.
+   A page without main blocks yields its open blocks less the words that repeated
+   substrings cover; if they cover all, the page is itself a copy and its open
+   blocks stay.
 
 Edge cases: null or empty html gives an empty text; a page whose url has no host
 belongs to host ''; null page ids count as one page; pages repeated with one id are
@@ -30,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +43,8 @@ from tessera.llm.store import settle, ship
 
 #: Words a repeated substring has at least, and words an array is built over at most.
 RUN, CHUNK = 8, 1 << 20
+#: Distinct main texts of a host that a block inside main ones is on at least to be boilerplate.
+MAIN_PAGES = 5
 
 _RAW = "script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|title|audio|video"
 _MARKUP = re.compile(
@@ -152,11 +157,24 @@ def _parsed(column: pa.Array) -> Iterator[list[tuple[str, str]]]:
         yield blocks(page) if page else []
 
 
+def host_of(url: str) -> Column:
+    return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
+
+
+def common_blocks(settled: DataFrame, url: str) -> DataFrame:
+    """(host, common): hashes of the main blocks on more than half of the host's distinct main texts; fewer than two mean texts have."""
+    rows = settled.where("not _open and text <> ''").select(F.xxhash64(host_of(url)).alias("host"), F.xxhash64("text").alias("content"), F.split("text", "\n").alias("blocks"))
+    total = rows.groupBy("host").agg(F.count_distinct("content").alias("total"))
+    each = rows.select("host", "content", F.explode("blocks").alias("block")).select("host", "content", F.xxhash64("block").alias("block"))
+    on = each.distinct().groupBy("host", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MAIN_PAGES)
+    common = settle(on.join(total, "host").where("2 * n > total").select("host", "block"), "common")
+    return common.groupBy("host").agg(F.collect_set("block").alias("_common"))
+
+
 def repeated(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     """(page, at): word numbers in the pages' streams at which repeated substrings of RUN words start."""
     ship(pages.sparkSession)
-    host = F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("page"), F.xxhash64(host).alias("host"), F.col(html).alias("html"))
+    rows = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("page"), F.xxhash64(host_of(url)).alias("host"), F.col(html).alias("html"))
 
     def classes(page: np.ndarray, at: np.ndarray, first: np.ndarray, gram: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
         """Rows of one suffix array.  first: the words' ranks; left: words to the end of the page."""
@@ -243,8 +261,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         return run
 
     kept = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "_open")]
-    settled = add_columns(pages, html, field, structural, list(dict.fromkeys([*kept, key, html])))
-    done = settled.where("not _open").select(*kept, "text")
+    settled = add_columns(pages, html, field, structural, list(dict.fromkeys([*kept, key, url, html])))
+    known = settled.where("not _open").withColumn("_host", F.xxhash64(host_of(url))).join(common_blocks(settled, url).withColumnRenamed("host", "_host"), "_host", "left")
+    own = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_common", F.xxhash64(x))), "\n")
+    most = 2 * F.char_length(own) >= F.char_length("text")
+    done = known.select(*kept, F.when(F.col("_common").isNotNull() & most, own).otherwise(F.col("text")).alias("text"))
     # Only pages without main blocks move: they meet the starts of the host's repeated substrings.
     starts = repeated(pages, key, url, html).groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("_starts"))
     unsettled = settled.where("_open").withColumn("page", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).join(starts, "page", "left")

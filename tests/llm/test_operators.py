@@ -91,6 +91,20 @@ def test_html_repeated_runs(spark, monkeypatch):
     assert op1_html.extract(df.where("false")).count() == 0
 
 
+def test_html_blocks_common_to_articles(spark):
+    share = "<p>Get our letter each week.</p>"
+    body = lambda i: " ".join(f"t{i}n{j}" for j in range(30))
+    pages = [(i, "http://h.example/x", f"<article><p>{body(i)}</p>{share}</article>") for i in range(6)]
+    pages += [(6, "http://h.example/x", f"<article><p>{body(6)}</p><p>{body(0)}</p></article>")]  # a quote is content
+    pages += [(7, "http://h.example/x", f"<article>{share}</article>")]
+    pages += [(10 + i, "http://copies.example/x", f"<article><p>{body(9)}</p><p>p{i}</p></article>") for i in range(6)]  # near copies too
+    pages += [(20 + i, "http://few.example/x", f"<article><p>{body(20 + i)}</p>{share}</article>") for i in range(3)]
+    got = {r.page_id: r.text for r in op1_html.extract(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    assert all(got[i] == body(i) for i in range(6)) and got[6] == f"{body(6)}\n{body(0)}"
+    assert got[7] == "Get our letter each week." and all(got[10 + i] == f"{body(9)}\np{i}" for i in range(6))
+    assert all(got[20 + i] == f"{body(20 + i)}\nGet our letter each week." for i in range(3))
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 
 
