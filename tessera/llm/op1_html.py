@@ -5,22 +5,23 @@
    notice, advert, form or comment element) or *open* (neither).
 2. The blocks outside the main ones form the page's token stream.  Streams are
    concatenated and their suffixes sorted (prefix doubling) to depth ``RUN``;
-   suffixes of one host that agree to that depth on two distinct pages start a
-   repeated substring, and overlapping starts join to longer ones.  Arrays are
-   built over chunks of at most ``CHUNK`` tokens; starts that are unique within
-   their chunk are resolved against the other chunks' classes by an equi-join, so
-   the cover is that of one array over the whole host, however large.
+   suffixes of one host that agree to that depth on more than half of its distinct
+   pages (two at least) start a repeated substring, and overlapping starts join to
+   longer ones; what a few pages share is a copy or a quote.  Arrays are built over
+   chunks of at most ``CHUNK`` tokens; the pages of their classes are counted
+   together and starts meet the counts in an equi-join, so the cover is that of one
+   array over the whole host, however large.
 3. A page with main blocks yields these, less the whole blocks that stand on more
    than half of the host's distinct main texts, and on ``MAIN_PAGES`` at least (see
    :func:`common_blocks`); if they are the larger part of the page, it is itself a
    copy and all stay.  Other article text that recurs (copies, quotes) is content.
    A page without main blocks yields its open blocks less the words that repeated
-   substrings cover; if they cover all, the page is itself a copy and its open
-   blocks stay.
+   substrings cover; if they leave no block half uncovered and no stretch of ``RUN``
+   words, the page is itself a copy and its open blocks stay.
 
 Edge cases: null or empty html gives an empty text; a page whose url has no host
-belongs to host ''; null page ids count as one page; pages repeated with one id are
-one page for "distinct pages".  Unclosed tags, unfinished references and pages cut
+belongs to host ''; pages of one host with equal html are one page for "distinct
+pages", whatever their ids.  Unclosed tags, unfinished references and pages cut
 off anywhere are read as far as they go.  Extra columns are carried along by
 :func:`extract`, except ones named like its results.
 """
@@ -172,11 +173,12 @@ def common_blocks(settled: DataFrame, url: str) -> DataFrame:
 
 
 def repeated(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(page, at): word numbers in the pages' streams at which repeated substrings of RUN words start."""
+    """(page, at): word numbers in the streams of pages without main blocks at which the host's repeated substrings of RUN words start."""
     ship(pages.sparkSession)
-    rows = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("page"), F.xxhash64(host_of(url)).alias("host"), F.col(html).alias("html"))
+    host = F.xxhash64(host_of(url))
+    rows = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("page"), host.alias("host"), F.xxhash64(host, html).alias("content"), F.col(html).alias("html"))
 
-    def classes(page: np.ndarray, at: np.ndarray, first: np.ndarray, gram: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
+    def classes(page: np.ndarray, host: np.ndarray, content: np.ndarray, unsettled: np.ndarray, at: np.ndarray, first: np.ndarray, gram: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
         """Rows of one suffix array.  first: the words' ranks; left: words to the end of the page."""
         rank, depth = first, 1
         while depth < RUN:
@@ -189,48 +191,44 @@ def repeated(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
             rank = np.empty(len(order), np.int64)
             rank[order] = np.cumsum(step) - 1
             depth *= 2
-        suffixes = np.argsort(rank, kind="stable")
+        suffixes = np.lexsort((content, rank))
         suffixes = suffixes[left[suffixes] >= RUN]
-        if not len(suffixes):
-            return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())], names)
-        begin = np.flatnonzero(np.diff(rank[suffixes], prepend=-1))
-        lo, hi = np.minimum.reduceat(page[suffixes], begin), np.maximum.reduceat(page[suffixes], begin)
-        size = np.diff(np.append(begin, len(suffixes)))
-        known = lo < hi
-        one = suffixes[begin]
-        # A row for each class; and for each start, said to be repeated if its class shows it.
+        # A row for each page of a class; and for each start in a page that the cover decides.
+        new = (np.diff(rank[suffixes], prepend=-1) != 0) | (np.diff(content[suffixes], prepend=0) != 0)
+        new[:1] = True
+        one, starts = suffixes[new], suffixes[unsettled[suffixes]]
         cols = [
-            np.concatenate([gram[one], gram[suffixes]]),
-            np.concatenate([np.zeros(len(one), np.int64), page[suffixes]]),
-            np.concatenate([np.full(len(one), -1), at[suffixes]]).astype(np.int32),
-            np.concatenate([lo, np.zeros(len(suffixes), np.int64)]),
-            np.concatenate([hi, np.zeros(len(suffixes), np.int64)]),
-            np.concatenate([np.zeros(len(one), bool), np.repeat(known, size)]),
+            np.concatenate([gram[one], gram[starts]]),
+            np.concatenate([host[one], host[starts]]),
+            np.concatenate([content[one], page[starts]]),
+            np.concatenate([np.full(len(one), -1), at[starts]]).astype(np.int32),
         ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
-
-    names = ["gram", "page", "at", "lo", "hi", "known"]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "host", "page", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            page, hashes, left, at = (np.concatenate(c) for c in zip(*held))
+            page, host, content, unsettled, hashes, left, at = (np.concatenate(c) for c in zip(*held))
             gram = np.zeros(len(hashes), np.uint64)
             for k in range(RUN):
                 gram[: len(gram) - k] = gram[: len(gram) - k] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:]
-            return classes(page, at, np.unique(hashes, return_inverse=True)[1].astype(np.int64), mix(gram).view(np.int64), left)
+            return classes(page, host, content, unsettled, at, np.unique(hashes, return_inverse=True)[1].astype(np.int64), mix(gram).view(np.int64), left)
 
         for batch in batches:
             for part in slices(batch, "html"):
-                streams = ["\n".join(t for k, t in found if k in ("open", "chrome") or (k == "main" and main_of(found) is None)) for found in _parsed(part.column("html"))]
+                streams, unsettled = [], []
+                for found in _parsed(part.column("html")):
+                    main = main_of(found)
+                    streams.append("\n".join(t for k, t in found if k in ("open", "chrome") or (k == "main" and main is None)))
+                    unsettled.append(main is None)
                 w = words(pa.array(streams, pa.string()))
                 if not len(w.hash):
                     continue
                 bounds = w.bounds
-                of_host = part.column("host").to_numpy().view(np.uint64)[w.doc]
-                held.append((part.column("page").to_numpy()[w.doc], mix(w.hash ^ mix(of_host)), bounds[w.doc + 1] - np.arange(len(w.doc)), np.arange(len(w.doc)) - bounds[w.doc]))
+                page, host, content = (part.column(c).to_numpy()[w.doc] for c in ("page", "host", "content"))
+                held.append((page, host, content, np.array(unsettled, bool)[w.doc], mix(w.hash ^ mix(host.view(np.uint64))), bounds[w.doc + 1] - np.arange(len(w.doc)), np.arange(len(w.doc)) - bounds[w.doc]))
                 size += len(w.hash)
                 if size >= CHUNK:
                     yield flush()
@@ -238,11 +236,13 @@ def repeated(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
         if held:
             yield flush()
 
-    found = settle(rows.mapInArrow(run, "gram long, page long, at int, lo long, hi long, known boolean"), "starts")
-    more = found.where("at < 0").groupBy("gram").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("gram")
-    starts = found.where("at >= 0")
-    rest = starts.where("not known").join(more, "gram", "left_semi")
-    return starts.where("known").select("page", "at").unionByName(rest.select("page", "at"))
+    found = settle(rows.mapInArrow(run, "gram long, host long, page long, at int"), "starts")
+    starts = found.where("at >= 0").select("gram", "page", "at")
+    # Only grams of pages that the cover decides are counted.
+    on = found.where("at < 0").join(starts.select("gram").distinct(), "gram", "left_semi").select("gram", "host", "page").distinct()
+    on = on.groupBy("gram", "host").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    total = rows.where("html <> ''").select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    return starts.join(on.join(total, "host").where("2 * n > total").select("gram"), "gram", "left_semi").select("page", "at")
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
@@ -279,15 +279,17 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
                 covered = np.zeros(sum(len(t.split()) for _, t in found) + RUN, bool)
                 for s in starts or ():
                     covered[s : s + RUN] = True
-                at, unique, whole = 0, [], []
+                at, unique, whole, own = 0, [], [], False
                 for k, t in found:
                     w = t.split()
                     if k == "open":
                         whole.append(t)
-                        if left := [x for x, c in zip(w, covered[at : at + len(w)]) if not c]:
+                        bare = (~covered[at : at + len(w)]).tolist()
+                        if left := [x for x, b in zip(w, bare) if b]:
                             unique.append(" ".join(left))
+                            own = own or 2 * len(left) >= len(w) or "1" * RUN in "".join("01"[b] for b in bare)
                     at += len(w)
-                texts.append("\n".join(unique or whole))
+                texts.append("\n".join(unique if own else whole))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
     return done.unionByName(unsettled.select(*list(dict.fromkeys([*kept, html])), "_starts").mapInArrow(run, types))

@@ -105,6 +105,20 @@ def test_html_blocks_common_to_articles(spark):
     assert all(got[20 + i] == f"{body(20 + i)}\nGet our letter each week." for i in range(3))
 
 
+def test_html_copies_and_quotes_stay(spark, monkeypatch):
+    menu = "<div>" + " ".join(f"m{j}" for j in range(12)) + "</div>"
+    body = lambda i: " ".join(f"t{i}n{j}" for j in range(60))
+    near = [body(0).replace("t0n30 ", f"new{i} ") for i in range(2)]
+    texts = [*near, body(1), body(1), body(2), body(3), f"{body(4)} {body(2)}", body(5), body(6)]  # near and exact copies, a quote
+    pages = [(i, "http://h.example/x", f"{menu}<div>{t}</div>") for i, t in enumerate(texts)]
+    pages += [(20 + i, "http://pair.example/x", f"<div>{t}</div>") for i, t in enumerate(near)]  # nothing but near copies
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    for chunk in (1 << 20, 10):
+        monkeypatch.setattr(op1_html, "CHUNK", chunk)
+        got = {r.page_id: r.text for r in op1_html.extract(df).collect()}
+        assert all(got[i] == t for i, t in enumerate(texts)) and all(got[20 + i] == t for i, t in enumerate(near))
+
+
 # 2 -----------------------------------------------------------------------------------------------------------------
 
 
