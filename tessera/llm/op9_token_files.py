@@ -14,7 +14,8 @@ its pre-tokens end at white space and between letters, digits and symbols (probe
 texts tell), each distinct piece of that kind is encoded by the library once and its
 ids are reused by all tasks of a Python worker; other vocabularies encode whole texts.
 
-Edge cases: names of special tokens in a text are ordinary text; null or empty text has the end id alone; null keys come first;
+Edge cases: names of special tokens in a text are ordinary text, or with ``special`` those tokens,
+as the library has it by default (a text that has one is then encoded whole); null or empty text has the end id alone; null keys come first;
 repeated keys stay next to each other, ordered by their text; an empty table gives
 empty files.  Extra columns are ignored.
 """
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ from tessera.llm.store import settle, ship
 SEGMENT = 1 << 20
 #: Pieces a worker remembers before it starts anew.
 REMEMBERED = 700_000
-_CACHES: dict[str, Encoder] = {}
+_CACHES: dict[tuple[str, bool], Encoder] = {}
 _HEAD = struct.Struct("<4sHHII")
 _BLOCK = struct.Struct("<IIIII")
 
@@ -50,33 +52,47 @@ class Encoder:
 
     PROBES = ("It's 12,345 o'clock!", "x<|endoftext|>y ###a9'LL", "  Ünïcode»,«ß 中文,1é2 '", "a_b-c\n\n\td  (e)... f's't")
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their names in a text are ordinary text
-        encode = tokenizer.encode_batch_fast
-        self.encode = lambda texts: [e.ids for e in encode(texts, add_special_tokens=False)]
-        self.cache = SpanCache(lambda spans: self.encode([s.decode() for s in spans]), REMEMBERED)
+        def ids_of(ordinary: bool):
+            tokenizer = Tokenizer.from_file(path)
+            tokenizer.encode_special_tokens = ordinary  # their names in a text are ordinary text
+            encode = tokenizer.encode_batch_fast
+            return lambda texts: [e.ids for e in encode(texts, add_special_tokens=False)]
+
+        plain, self.encode = ids_of(True), ids_of(not special)
+        self.names = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values() if t.special] if special else []
+        self.cache = SpanCache(lambda spans: plain([s.decode() for s in spans]), REMEMBERED)
         by_piece = self.cache(pieces(pa.array(self.PROBES)))[0].tolist()
-        self.cut = by_piece == [i for ids in self.encode(list(self.PROBES)) for i in ids]
+        self.cut = by_piece == [i for ids in plain(list(self.PROBES)) for i in ids]
 
     def __call__(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the number of ids of each text."""
         if self.cut:
-            return self.cache(pieces(column), end)
+            named = np.zeros(len(column), bool)
+            for name in self.names:
+                named |= pc.match_substring(column, name, ignore_case=True).fill_null(False).to_numpy(zero_copy_only=False)
+            if not named.any():
+                return self.cache(pieces(column), end)
+            ids, total = self.cache(pieces(pc.if_else(pa.array(named), pa.scalar(None, column.type), column)), end)
+            made = self.encode(column.filter(pa.array(named)).to_pylist())
+            sizes = np.array([len(m) for m in made], np.int64)
+            ids = np.insert(ids, np.repeat(np.cumsum(total)[named] - 1, sizes), np.concatenate([np.array(m, np.uint32) for m in made]))
+            total[named] += sizes
+            return ids, total
         made = [np.array([*ids, end], np.uint32) for ids in self.encode([x or "" for x in column.to_pylist()])]
         return np.concatenate([np.empty(0, np.uint32), *made]), np.array([len(m) for m in made], np.int64)
 
 
-def cached(path: str) -> Encoder:
-    if path not in _CACHES:
-        _CACHES[path] = Encoder(path)
-    return _CACHES[path]
+def cached(path: str, special: bool) -> Encoder:
+    if (path, special) not in _CACHES:
+        _CACHES[path, special] = Encoder(path, special)
+    return _CACHES[path, special]
 
 
-def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int, special: bool = False) -> DataFrame:
     """Table of (shard, seq, place, k, n_tokens, ids), ascending in k; place: ids of the shard before; ids as little-endian integers, ending with ``end``."""
     from tokenizers import Tokenizer
 
@@ -88,7 +104,7 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int) -> DataF
     bounds = boundaries(docs, key, 4 * n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, seq, before = cached(path), -1, 0, 0
+        encode, shard, seq, before = cached(path, special), -1, 0, 0
         for batch in batches:
             for part in slices(batch, "t"):
                 ids, total = encode(part.column("t"), end)
@@ -226,10 +242,10 @@ def read_segments(segments: DataFrame, freq: np.ndarray, with_ids: bool = False)
     return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
-def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int = 1) -> tuple[DataFrame, np.ndarray]:
+def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int = 1, special: bool = False) -> tuple[DataFrame, np.ndarray]:
     """Tokenise and write ``docs``; the segments and the shared frequency table."""
     from tokenizers import Tokenizer
 
-    ids = tokenise(docs, path, key, text, end)
+    ids = tokenise(docs, path, key, text, end, special)
     freq = quantise(count_ids(ids, Tokenizer.from_file(path).get_vocab_size()))
     return write_segments(ids, freq), freq

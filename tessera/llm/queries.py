@@ -113,7 +113,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tessera.llm import op9_token_files as op
 
-    segments, freq = op.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    segments, freq = op.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), special=True)
     return op.read_segments(segments, freq)
 
 

@@ -426,6 +426,22 @@ def test_token_files(spark, odd, none):
     assert op9_token_files.read_segments(*empty).count() == 0
 
 
+def test_token_query_encodes_like_the_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    from tessera.llm import queries
+
+    library = Tokenizer.from_file(public.path("word_bpe_49k.json"))
+    texts = ["one <|endoftext|> two", "plain text", None, "", "<|startoftext|>", "x<|ENDOFTEXT|>y", "last"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op9_token_files(spark, str(tmp_path)).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = [*library.encode(text or "", add_special_tokens=False).ids, 1]
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
 def test_other_vocabularies_encode_whole_texts():
     from tokenizers import Tokenizer
 
