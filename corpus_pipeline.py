@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tessera.llm import op2_near, op3_language, op5_quality, op8_pieces, op10_decontaminate
 from tessera.llm.store import drop_path, fresh_path, table
 
-#: Documents of a lower language or quality score are rejected.
-LEAST_LANGUAGE, LEAST_QUALITY = 0.4, 0.5
+#: Documents of a lower language score are rejected.
+LEAST_LANGUAGE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,9 +31,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents of good quality."""
+    """Keep documents that the classifier predicts to be of good quality; all, if there are no labels to learn from."""
     model = op5_quality.train(docs, table(spark, sf_dir, "labels"))
-    return op5_quality.classify(docs, model).where(F.col("quality_score") >= LEAST_QUALITY).select(*docs.columns)
+    if model.intercept == 0 and not any(t.any() for t in model.tables):
+        return docs
+    return op5_quality.classify(docs, model).where("quality_pred = 1").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -510,6 +510,22 @@ def test_pipeline(spark):
     assert 0 < out.count() < docs.count() and out.where("not round_trip").count() == 0
 
 
+def test_pipeline_quality_is_the_classifiers(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    k = len(op5_quality.FEATURES)
+    edges, tables = [np.array([4.0])] + [np.empty(0)] * (k - 1), [np.array([0.4, 2.0])] + [np.zeros(1)] * (k - 1)
+    model = op5_quality.AdditiveModel(0.0, edges, tables, [])  # scores of 0.6 and 0.88
+    with monkeypatch.context() as m:
+        m.setattr(op5_quality, "train", lambda *_: model)
+        rows = spark.createDataFrame([(1, "a short one"), (2, "word " * 500)], "doc_id long, text string")
+        assert {r.doc_id: r.quality_pred for r in op5_quality.classify(rows, model).collect()} == {1: 0, 2: 1}
+        assert [r.doc_id for r in corpus_pipeline.quality(spark, rows, SF).collect()] == [2]
+    labels.where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality(spark, docs, str(tmp_path)).count() == docs.count()
+
+
 def test_contract_columns(spark):
     from tessera.llm import queries
 
