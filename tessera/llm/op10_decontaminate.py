@@ -3,13 +3,16 @@
 Words are lower-case runs of letters and digits (of ASCII; every other code point
 counts as a letter).  A seed is an n-gram of ``SEED`` words of a test item that
 is rare: its expected count in the corpus, from the counts of its words over all
-documents, is at most ``EXPECTED`` a million words.  An item without such a seed keeps its
-rarest.  (Expected rather than counted, so that a passage copied into
-thousands of documents keeps its seeds.)
+documents, is at most ``EXPECTED`` a million words.  (Expected rather than counted, so that
+a passage copied into thousands of documents keeps its seeds.)  Besides, an item is
+tiled with n-grams of SEED and two words, the rarest such tiling, that overlap in
+one word at most.  An unlike word or gap breaks at most as many tiles as it costs
+in score, and there are more tiles than THRESHOLD leaves to lose, so that every
+alignment of THRESHOLD holds a seed, however frequent the item's words are.
 
 Seeds are looked up in every document at every word.  Hits of one item on
-neighbouring diagonals make a window, and the item is aligned locally with it: 1 for
-an equal word, -1 for an unequal one or a gap.  The score is the best alignment
+neighbouring diagonals make a window, and if it has enough of the item's words, the item is
+aligned locally with it: 1 for an equal word, -1 for an unequal one or a gap.  The score is the best alignment
 over the item's words; documents with a score of ``THRESHOLD`` or more leak the item.
 
 Test items are sent to the workers in blocks of at most ``BLOCK_WORDS`` words; a larger
@@ -48,6 +51,23 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(code)
 
 
+def tiling(three: np.ndarray, two: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Places of the three- and two-word tiles of least total rate that cover all steps between words, with ``most`` tiles of two."""
+    steps = len(two)
+    best = np.full((steps + 1, most + 1), np.inf)
+    best[0, 0] = 0
+    for p in range(1, steps + 1):
+        best[p, 1:] = best[p - 1, :-1] + two[p - 1]
+        if p > 1:
+            best[p] = np.minimum(best[p], best[p - 2] + three[p - 2])
+    places, p, k = ([], []), steps, most
+    while p:
+        short = bool(k > 0 and best[p, k] == best[p - 1, k - 1] + two[p - 1])
+        p, k = (p - 1, k - 1) if short else (p - 2, k)
+        places[short].append(p)
+    return places
+
+
 class Items:
     """A block of test items: ids, word hashes, and, once ``rare`` has run, their seeds."""
 
@@ -65,19 +85,25 @@ class Items:
             n = min(SEED, b - a)
             if n == 0:
                 continue
-            expected = sum(word[a + k : b - n + 1 + k] for k in range(n)) + np.log(1e6)
-            keep = expected <= np.log(EXPECTED)
-            keep[expected.argmin()] = True
-            code = _grams(self.hash[a:b], n) ^ np.uint64(n)
-            codes.append(code[keep])
-            places.append(np.flatnonzero(keep))
-            items.append(np.full(keep.sum(), i))
+            rates = {k: sum(word[a + j : b - k + 1 + j] for j in range(k)) for k in {n, min(n, 2)}}
+            keep = {k: np.zeros(len(r), bool) for k, r in rates.items()}
+            keep[n] |= rates[n] + np.log(1e6) <= np.log(EXPECTED)
+            if n < SEED:
+                keep[n][:] = True
+            else:
+                least = int((b - a) * (1 - THRESHOLD)) + 1  # tiles, of b - a - 1 steps
+                keep[3][(of := tiling(np.exp(rates[3]), np.exp(rates[2]), 2 * least - (b - a - 1)))[0]] = True
+                keep[2][of[1]] = True
+            for k, some in keep.items():
+                codes.append((_grams(self.hash[a:b], k) ^ np.uint64(k))[some])
+                places.append(np.flatnonzero(some))
+                items.append(np.full(some.sum(), i))
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         codes, items, places = join(codes, np.uint64), join(items, np.int64), join(places, np.int64)
         order = np.argsort(codes, kind="stable")
         self.codes, self.items, self.places = codes[order], items[order], places[order]
         sizes = np.diff(self.bounds)
-        self.lengths = sorted({min(SEED, int(n)) for n in sizes if n})
+        self.lengths = sorted({k for n in sizes if n for k in (min(SEED, int(n)), min(2, int(n)))})
         self.maybe = np.zeros(1 << _BITS, bool)
         self.maybe[(codes & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
 
@@ -149,6 +175,12 @@ class Matcher:
             some = turn[at:stop]
             at = stop
             x, y = self._rows(t.hash, t.bounds[item[some]], t.bounds[item[some] + 1]), self._rows(w.hash, a[some], b[some])
+            # An alignment of THRESHOLD has at least that share of the item's words.
+            shared = sum(((y == c[:, None]) & (c[:, None] != 0)).any(axis=1).astype(np.int64) for c in x.T)
+            enough = shared >= THRESHOLD * length[some]
+            if not enough.any():
+                continue
+            some, x, y = some[enough], x[enough], y[enough]
             best, end = align(x, y)
             back = self._rows(w.hash, a[some], a[some] + end)
             flip = np.zeros_like(back)
@@ -162,6 +194,9 @@ class Matcher:
             last[some] = a[some] + end - 1 - text[doc[some]]
             first[some] = a[some] + end - reach - text[doc[some]]
         order = np.lexsort((first, -score, item, doc))
+        order = order[score[order] > 0]
+        if not len(order):
+            return empty
         order = order[np.r_[True, (np.diff(doc[order]) > 0) | (np.diff(item[order]) != 0)]]
         return doc[order], item[order], score[order], first[order], last[order]
 

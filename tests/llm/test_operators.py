@@ -495,6 +495,22 @@ def test_leaks(spark, odd, none, monkeypatch):
     assert op10_decontaminate.decontaminate(odd, bench).count() == odd.count()
 
 
+def test_leaks_of_frequent_words(spark):
+    rng = random.Random(3)
+    items = [(i, words_of(rng, 24, 60)) for i in range(6)]  # no trigram of so few words is rare
+    w = [text.split() for _, text in items]
+    rows = [(i, " ".join("changed" if j % 8 == 3 else x for j, x in enumerate(w[i]))) for i in range(6)]
+    for start in range(22):  # any three words changed, and a word put in after every other one: exactly THRESHOLD
+        rows.append((100 + start, " ".join("changed" if start <= j < start + 3 else x for j, x in enumerate(w[0]))))
+    rows.append((200, " ".join(x + (" put" if j % 2 and j < 23 else "") for j, x in enumerate(w[1]))))
+    rows += [(1000 + i, words_of(rng, 80, 60)) for i in range(200)]
+    got = {(r.doc_id, r.item_id): r.score for r in op10_decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    codes = {}
+    coded = lambda words: [codes.setdefault(x, len(codes) + 1) for x in words]
+    exact = {(k, i): plain_alignment(coded(w[i]), coded(text.split())) / 24 for k, text in rows for i in range(6)}
+    assert got == {k: s for k, s in exact.items() if s >= op10_decontaminate.THRESHOLD} and len(got) >= 29
+
+
 # pipeline and contract ---------------------------------------------------------------------------------------------
 
 
