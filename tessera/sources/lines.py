@@ -31,9 +31,16 @@ def text_lines(spark: SparkSession, path: str, chunk_lines: int) -> DataFrame:
 
 
 def column_lines(df: DataFrame, key: str, text: str, chunk_lines: int, most_lines: int = 100_000) -> DataFrame:
-    """Lines of a text column: row_no is key * most_lines + the line's place, chunks hold chunk_lines keys."""
+    """Lines of a text column: row_no is key * most_lines + the line's place, chunks hold chunk_lines keys.
+
+    If a text has more lines, most_lines grows to the next power of ten that holds
+    them, so that no two lines share a number; numbers beyond a long raise an error.
+    """
+    longest = df.agg(F.max(F.length(F.col(text)) - F.length(F.replace(F.col(text), F.lit("\n"))))).first()[0] or 0
+    while most_lines <= longest:
+        most_lines *= 10
     lines = df.select(F.col(key).cast("long").alias("k"), F.posexplode(F.split(F.col(text), "\n")).alias("i", "line"))
-    return lines.select(F.floor(F.col("k") / chunk_lines).cast("int").alias("chunk_id"), (F.col("k") * most_lines + F.col("i")).alias("row_no"), "line")
+    return lines.select(F.floor(F.col("k") / chunk_lines).cast("int").alias("chunk_id"), (F.col("k") * F.lit(most_lines).cast("long") + F.col("i")).alias("row_no"), "line")
 
 
 def event_line() -> Column:

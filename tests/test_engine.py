@@ -34,6 +34,15 @@ def test_token_classes(spark):
     assert {r.tok: r.cls for r in rows} == want
 
 
+def test_rows_of_very_long_texts(spark):
+    texts = ["x\n" * 100_002 + "end 1", "first 2\nsecond", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    rows = src.column_lines(df, "k", "t", 250)
+    assert rows.count() == rows.select("row_no").distinct().count() == 100_006
+    assert [r.line for r in rows.where("row_no >= 100000").orderBy("row_no").collect()] == ["x", "x", "end 1", "first 2", "second", ""]
+    assert [r.row_no for r in src.column_lines(df.where("k > 0"), "k", "t", 250).orderBy("row_no").collect()] == [100_000, 100_001, 300_000]
+
+
 def test_tokens_cover_the_line(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("a09/<>|()*- \té²٣") for _ in range(rng.randint(0, 30))) for _ in range(300)]
