@@ -261,7 +261,7 @@ def letters_of_id(spark, sf_dir):
 
 
 def id_of_letters(spark, sf_dir):
-    words = _table(spark, sf_dir, "events").select(F.substring("event_type", 1, 8).alias("letters")).where("letters rlike '^[a-z]+$'").distinct()
+    words = _table(spark, sf_dir, "events").select(F.col("event_type").alias("letters")).where("letters rlike '^[a-z]+$'").distinct()
     return words.select("letters", numbers.id_of_letters(F.col("letters")).alias("id"))
 
 

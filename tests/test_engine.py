@@ -56,6 +56,20 @@ def test_letters(spark):
     assert [portable.letters(n) for n in (0, 25, 26, 701, 702)] == ["a", "z", "aa", "zz", "aaa"]
 
 
+def test_long_words_are_decoded_whole(spark, tmp_path):
+    from tessera import queries
+
+    words = {"a": 0, "aa": 26, "purchase": None, "purchased": None, "crpxnlskvljfhh": 2**63 - 1, "crpxnlskvljfhi": -1, "z" * 20: -1}
+    for w in ("purchase", "purchased"):
+        n = 0
+        for c in w:
+            n = n * 26 + ord(c) - 96
+        words[w] = n - 1
+    spark.createDataFrame([(w,) for w in [*words, "Not", ""]], "event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.letters: r.id for r in queries.id_of_letters(spark, str(tmp_path)).collect()}
+    assert got == {w: None if n < 0 else n for w, n in words.items()}
+
+
 def test_leb_sizes_and_bytes(spark):
     values = [0, 1, -1, 63, 64, -64, -65, 127, 128, 8191, 8192, -8192, -8193, 2**40, -(2**40), 2**60]
     rows = spark.createDataFrame([(v,) for v in values], "v long").select("v", numbers.signed_leb_size(F.col("v")).alias("n"), numbers.delta_of_lsb(numbers.lsb_of_delta(F.col("v"))).alias("x")).collect()
