@@ -14,11 +14,17 @@ _SHIPPED: set[str] = set()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """An unused path below spark.checkpoint.dir (a temporary folder where that is unset), removed when the JVM ends."""
+    """An unused path below spark.checkpoint.dir, removed when the JVM ends.
+
+    Where that is unset, a temporary folder serves a session on one machine; on a cluster it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not root:
-        root = "file://" + _OWN.setdefault(app, _OWN.get(app) or tempfile.mkdtemp(prefix="tessera-"))
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        root = "file://" + (_OWN.get(app) or _OWN.setdefault(app, tempfile.mkdtemp(prefix="tessera-")))
     path = f"{root.rstrip('/')}/work-{app}/{name}-{uuid.uuid4().hex}"
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -27,6 +33,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete what :func:`fresh_path` gave; only once no plan reads it any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a shared table and read it back."""
     path = fresh_path(df.sparkSession, name)
