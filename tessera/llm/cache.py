@@ -9,27 +9,44 @@ import numpy as np
 from tessera.llm.kernels import Words
 
 
+def distinct(w: Words) -> tuple[list[bytes], np.ndarray]:
+    """The distinct spans and, for each span, its place among them.  Hashes group them; the bytes of every group are compared."""
+    raw = w.data.tobytes()
+    uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+    size, like = w.end - w.start, first[inverse]
+    same = (size == size[like]).all()
+    if same and len(size):
+        ends = np.cumsum(size)
+        within = np.arange(int(ends[-1])) - np.repeat(ends - size, size)
+        same = (w.data[np.repeat(w.start, size) + within] == w.data[np.repeat(w.start[like], size) + within]).all()
+    if same:
+        return [raw[a:b] for a, b in zip(w.start[first].tolist(), w.end[first].tolist())], inverse
+    places: dict[bytes, int] = {}  # two spans of one hash
+    found = [places.setdefault(raw[a:b], len(places)) for a, b in zip(w.start.tolist(), w.end.tolist())]
+    return list(places), np.array(found, np.int64)
+
+
 class SpanCache:
-    """Remembers the ids that ``learn`` gives for spans of bytes, by their 64-bit hashes."""
+    """Remembers the ids that ``learn`` gives for spans of bytes."""
 
     def __init__(self, learn: Callable[[list[bytes]], list], most: int) -> None:
         self.learn, self.most = learn, most
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
         self.ids, self.used = np.empty(1 << 20, np.uint32), 0
         self.at, self.size = np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64)
 
-    def _add(self, hashes: list[int], spans: list[bytes]) -> None:
-        for h, ids in zip(hashes, self.learn(spans)):
+    def _add(self, spans: list[bytes]) -> None:
+        for span, ids in zip(spans, self.learn(spans)):
             k = len(self.place)
             if self.used + len(ids) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + len(ids), np.uint32)])
             if k == len(self.at):
                 self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
             self.ids[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k], self.place[h] = self.used, len(ids), k
+            self.at[k], self.size[k], self.place[span] = self.used, len(ids), k
             self.used += len(ids)
 
     def __call__(self, w: Words, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -37,14 +54,12 @@ class SpanCache:
         if len(self.place) > self.most or self.used > 8 * self.most:
             self.clear()
         n = len(w.offsets) - 1
-        uniq, first, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        spans, inverse = distinct(w)
         get = self.place.get
-        got = np.array([get(h, -1) for h in uniq.tolist()], np.int64)
+        got = np.array([get(s, -1) for s in spans], np.int64)
         new = np.flatnonzero(got < 0)
         if len(new):
-            data = w.data.tobytes()
-            s, e = w.start[first[new]].tolist(), w.end[first[new]].tolist()
-            self._add(uniq[new].tolist(), [data[a:b] for a, b in zip(s, e)])
+            self._add([spans[i] for i in new.tolist()])
             got[new] = np.arange(len(self.place) - len(new), len(self.place))
         place = got[inverse] if len(got) else np.empty(0, np.int64)
         size = self.size[place]

@@ -22,17 +22,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete what :func:`fresh_path` gave; only once no plan reads it any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    workspace.drop_path(spark, path)
 
 
-def settle(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a shared Parquet table and read it back: recovery then starts from the table."""
+def settled_at(df: DataFrame, name: str, codec: str = "zstd") -> tuple[str, DataFrame]:
+    """Write ``df`` as a shared Parquet table; its path, for :func:`drop_path`, and the table."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.mode("overwrite").option("compression", codec).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    return out
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write ``df`` as a shared Parquet table and read it back: recovery then starts from the table."""
+    return settled_at(df, name, codec)[1]
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,3 +47,16 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or it with as many ``_`` before it as make it no column of ``df`` (Spark tells names apart without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def every(df: DataFrame) -> list:
+    """All columns of ``df``, whatever characters their names have."""
+    return [df[f"`{c.replace('`', '``')}`"] for c in df.columns]
