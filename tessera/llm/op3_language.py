@@ -10,12 +10,14 @@ for byte pairs.
 
 Edge cases: null text, empty text and text without a letter give ``und`` with
 score 0; so does everything if no labelled row exists.  Rows are scored
-independently, so ties and repeated rows give equal results.  Extra columns
-are ignored or carried along by :func:`identify`.
+independently, so ties and repeated rows give equal results.  Labelled rows without
+a key are learned from like others; repeated rows count once.  Extra columns
+are ignored or carried along by :func:`identify`, except ones named like its results.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrowmap import add_columns
-from tessera.llm.kernels import text_bytes
+from tessera.llm.kernels import slices, text_bytes
+from tessera.llm.store import ship
 
 LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-#: Bounds of the training sample: rows a language, languages (the most frequent), windows a text.
-ROWS_A_LANGUAGE, LANGUAGES, WINDOWS_A_TEXT = 400, 200, 4
+#: Bounds of the training sample: rows of each language, windows of a row's text.
+ROWS_A_LANGUAGE, WINDOWS_A_TEXT = 500, 4
 EPOCHS, BATCH, RATE = 8, 64, 0.02
 
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
@@ -68,21 +71,31 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x / x.sum(axis=1, keepdims=True)
 
 
+def some_windows(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Up to WINDOWS_A_TEXT windows of each text, evenly spread over those with letters, and the text of each."""
+    rows, doc = windows(*text_bytes(column))
+    keep = np.flatnonzero(_LETTER[rows[:, :LENGTH]].sum(axis=1) >= LENGTH // 8)
+    begins = np.flatnonzero(np.diff(doc[keep], prepend=-1) != 0)
+    sizes = np.diff(np.append(begins, len(keep)))
+    taken = np.minimum(sizes, WINDOWS_A_TEXT)
+    nth = np.arange(int(taken.sum())) - np.repeat(np.cumsum(taken) - taken, taken)
+    keep = keep[np.repeat(begins, taken) + nth * np.repeat(sizes, taken) // np.repeat(np.maximum(taken, 1), taken)]
+    return rows[keep], doc[keep]
+
+
 def train(texts: list[str], labels: list[str], seed: int = 7) -> ByteConvNet | None:
-    """Fit the network; None without labelled text."""
-    rng = np.random.default_rng(seed)
-    languages = sorted(set(labels))
+    """Fit the network to texts and their languages; None without labelled text."""
+    rows, doc = some_windows(pa.array(texts, pa.large_string()))
+    return train_windows(rows, [labels[i] for i in doc], sorted(set(labels)), seed)
+
+
+def train_windows(rows: np.ndarray, labels: list[str], languages: list[str], seed: int = 7) -> ByteConvNet | None:
+    """Fit the network to windows and their languages; None without a language."""
     if not languages:
         return None
-    rows, doc = windows(*text_bytes(pa.array(texts, pa.large_string())))
-    keep = np.flatnonzero(_LETTER[rows[:, :LENGTH]].sum(axis=1) >= LENGTH // 8)
-    keep = keep[rng.permutation(len(keep))]
-    rank = np.zeros(len(rows), np.int64)
-    order = keep[np.argsort(doc[keep], kind="stable")]
-    begins = np.flatnonzero(np.r_[True, np.diff(doc[order]) > 0]) if len(order) else np.empty(0, np.int64)
-    rank[order] = np.arange(len(order)) - np.repeat(begins, np.diff(np.r_[begins, len(order)]))
-    keep = keep[rank[keep] < WINDOWS_A_TEXT]
-    x, y = rows[keep].astype(np.int64), np.array([languages.index(s) for s in labels])[doc[keep]]
+    rng = np.random.default_rng(seed)
+    code = {s: i for i, s in enumerate(languages)}
+    x, y = rows.astype(np.int64), np.array([code[s] for s in labels], np.int64)
     n_features, k = FILTERS * len(WIDTHS), len(languages)
     params = {f"t{w}": rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}
     params |= {"shift": np.zeros(n_features, np.float32), "weights": rng.normal(0, 0.2, (n_features, k)).astype(np.float32), "bias": np.zeros(k, np.float32)}
@@ -164,24 +177,44 @@ class Scorer:
         return [lang, np.where(known, np.clip(total[np.arange(n), best], 0, 1), 0.0)]
 
 
-def training_rows(docs: DataFrame, text: str, lang: str, key: str) -> tuple[list[str], list[str]]:
-    """A sample of labelled rows within the bounds above, picked by a hash of ``key`` at one rate a language."""
-    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = labelled.groupBy(lang).count().orderBy(F.desc("count"), lang).limit(LANGUAGES).collect()
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> ByteConvNet | None:
+    """The network of a bounded sample of labelled rows: at most ROWS_A_LANGUAGE of every language, WINDOWS_A_TEXT windows each.
+
+    Rows are picked by a hash of key and text, at one rate a language, and only their windows reach the driver.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    labelled = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key).cast("string"), text).alias("h"))
+    # One row a language: a class of the softmax layer, of which the driver has the weights.
+    counts = labelled.groupBy("l").count().collect()
     if not counts:
-        return [], []
-    rates = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, ROWS_A_LANGUAGE / r[1]))])
-    draw = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(17)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    picked = labelled.where(draw < rates[F.col(lang)]).select(text, lang)
-    got = picked.limit(2 * ROWS_A_LANGUAGE * len(counts)).toArrow()
-    order = sorted(zip(got.column(1).to_pylist(), got.column(0).to_pylist()))
-    return [x for _, x in order], [x for x, _ in order]
-
-
-def identify(docs: DataFrame, net: ByteConvNet | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``, for every row over its whole text."""
-    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+        return None
+    rates = spark.createDataFrame([(r[0], min(1.0, 4 * ROWS_A_LANGUAGE / r[1])) for r in counts], "l string, rate double")
+    place = F.pmod(F.col("h"), F.lit(1 << 40))
+    drawn = labelled.withColumn("place", place).join(F.broadcast(rates), "l").where(F.col("place") < F.col("rate") * float(1 << 40))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "t"):
+                rows, doc = some_windows(part.column("t"))
+                edges = np.searchsorted(doc, np.arange(part.num_rows + 1))
+                joined = [rows[a:b].tobytes() for a, b in zip(edges, edges[1:])]
+                yield pa.RecordBatch.from_arrays([part.column("l"), part.column("place"), pa.array(joined, pa.binary())], ["l", "place", "w"])
+
+    # The row of lowest hash in each of ROWS_A_LANGUAGE slots of a language; repeated rows share their slot.
+    slot = F.pmod(F.col("place"), F.lit(ROWS_A_LANGUAGE))
+    made = drawn.select("l", "place", "t").mapInArrow(cut, "l string, place long, w binary")
+    got = made.groupBy("l", slot.alias("slot")).agg(F.min(F.struct("place", "w")).alias("best")).select("l", "slot", "best.w").toArrow()
+    found = sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist(), got.column(2).to_pylist()))
+    rows = np.frombuffer(b"".join(w for _, _, w in found), np.uint8).reshape(-1, LENGTH + 3)
+    labels = [x for x, _, w in found for _ in range(len(w) // (LENGTH + 3))]
+    return train_windows(rows, labels, sorted(r[0] for r in counts))
+
+
+def identify(docs: DataFrame, net: ByteConvNet | None, text: str = "text", keep: list[str] | None = None, pred: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """``docs`` with ``pred`` and ``score``, for every row over its whole text."""
+    fields = [T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]
     if net is None:
         kept = docs.select(*keep) if keep else docs
-        return kept.withColumns({"lang_pred": F.lit("und"), "lang_score": F.lit(0.0)})
+        return kept.withColumns({pred: F.lit("und"), score: F.lit(0.0)})
     return add_columns(docs, text, fields, lambda: Scorer(net), keep, most=1 << 20)
