@@ -9,7 +9,8 @@ addition a table, by vectorised bin lookups.
 
 Edge cases: null text counts as empty, and an empty text gets the score of its
 (all zero) features.  Without labelled rows every score is 0.5; with one label
-only, that label's smoothed rate.  Several labels of one key count as the larger.
+only, that label's smoothed rate.  Several labels of one key count as the larger; of
+several texts of one key the one whose features sort first is learned from.
 Ties and repeated rows score alike; extra columns are carried along by
 :func:`classify`, except ones named like its results.
 """
@@ -202,15 +203,16 @@ def train(docs: DataFrame, labels: DataFrame, use: Column | None = None, key: st
     def make():
         return lambda column: [pa.array(list(features(column)), pa.list_(pa.float64()))]
 
-    got = add_columns(rows, "_text", field, make, keep=["_key", "_y"]).toArrow()
+    # One row a key, however often documents repeat it: at most ROWS rows reach the driver.
+    got = add_columns(rows, "_text", field, make, keep=["_key", "_y"]).groupBy("_key", "_y").agg(F.min("_x").alias("_x")).toArrow()
     order = np.argsort(got.column("_key").to_numpy(), kind="stable")
     x = np.array(got.column("_x").to_pylist(), float).reshape(-1, len(FEATURES))[order]
     return fit(x, got.column("_y").to_numpy().astype(float)[order])
 
 
-def classify(docs: DataFrame, model: AdditiveModel, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``quality_score`` (0 to 1) and ``quality_pred``."""
-    fields = [T.StructField("quality_score", T.DoubleType()), T.StructField("quality_pred", T.IntegerType())]
+def classify(docs: DataFrame, model: AdditiveModel, text: str = "text", keep: list[str] | None = None, score: str = "quality_score", pred: str = "quality_pred") -> DataFrame:
+    """``docs`` with ``score`` (0 to 1) and ``pred``."""
+    fields = [T.StructField(score, T.DoubleType()), T.StructField(pred, T.IntegerType())]
 
     def make():
         def run(column: pa.Array) -> list:
