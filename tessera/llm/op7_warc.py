@@ -40,14 +40,14 @@ def base32_sha1(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, date: str = DATE) -> bytes:
-    """One WARC/1.1 record; a revisit if ``refers_to`` is given."""
+def record(key: int | None, url: str | None, payload: bytes, refers_to: int | None, row: int = 0, refers_row: int = 0, date: str = DATE) -> bytes:
+    """One WARC/1.1 record; a revisit if ``refers_to`` is given.  ``row`` tells records of one key apart."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     kind = "response" if refers_to is None else "revisit"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:page:{'' if key is None else key}>",
+        f"WARC-Record-ID: <urn:page:{'' if key is None else key}:{row}>",
         f"WARC-Date: {date}",
         f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
     ]
@@ -55,7 +55,7 @@ def record(key: int | None, url: str | None, payload: bytes, refers_to: int | No
         head.append("WARC-Target-URI: " + "".join(c if c > " " else f"%{ord(c):02X}" for c in url))
     if refers_to is not None:
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        head.append(f"WARC-Refers-To: <urn:page:{refers_to}>")
+        head.append(f"WARC-Refers-To: <urn:page:{refers_to}:{refers_row}>")
     body = http if refers_to is not None else http + payload
     head.append("Content-Type: application/http; msgtype=response")
     head.append(f"Content-Length: {len(body)}")
@@ -112,17 +112,19 @@ def unpack(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def _key(uri: str | None) -> int | None:
-    digits = uri.removeprefix("<urn:page:").removesuffix(">") if uri else ""
+    digits = uri.removeprefix("<urn:page:").partition(":")[0] if uri else ""
     return int(digits) if digits else None
 
 
 def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Write all pages; the archives as a table (n_records, content)."""
     ship(pages.sparkSession)
-    rows = pages.select(F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h"))
+    # Row numbers make record ids unique; they are settled first, so every branch and every retry has the same.
+    ids = settle(pages.select(F.monotonically_increasing_id().alias("i"), F.col(key).cast("long").alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html), F.lit("")).alias("h")).withColumn("d", F.sha1("h")), "pages")
     # Copies are found on 20-byte digests; the html itself moves once, with skewed digests split by the adaptive join.
-    first = rows.select("k", F.sha1("h").alias("d")).groupBy("d").agg(F.max("k").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("d", "response")
-    linked = rows.withColumn("d", F.sha1("h")).join(first, "d", "left").select("k", "u", "h", F.when(F.col("response") != F.coalesce("k", F.col("response") - 1), F.col("response")).alias("r"))
+    first = ids.groupBy("d").agg(F.max(F.struct("k", "i")).alias("r"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("d", F.col("r.k").alias("rk"), F.col("r.i").alias("ri"))
+    own = F.col("rk").isNull() | F.coalesce(F.col("k") == F.col("rk"), F.lit(False))
+    linked = ids.join(first, "d", "left").select("i", "k", "u", "h", F.when(~own, F.col("rk")).alias("r"), "ri")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
@@ -132,8 +134,8 @@ def write_archives(pages: DataFrame, key: str = "page_id", url: str = "url", htm
             return pa.RecordBatch.from_pydict({"n_records": pa.array([len(held)], pa.int64()), "content": pa.array([pack(held)], pa.binary())})
 
         for batch in batches:
-            for k, u, h, r in zip(*(c.to_pylist() if i != 2 else c for i, c in enumerate(batch.columns))):
-                held.append(record(k, u, h.as_buffer().to_pybytes(), r))
+            for i, k, u, h, r, ri in zip(*(c if n == "h" else c.to_pylist() for n, c in zip(batch.schema.names, batch.columns))):
+                held.append(record(k, u, h.as_buffer().to_pybytes(), r, i, ri))
                 size += len(held[-1])
                 if size >= ARCHIVE_BYTES:
                     yield flush()
