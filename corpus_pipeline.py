@@ -6,8 +6,10 @@ encoded documents.  A stage works on all rows of its input and learns from them
 and from the reference tables of ``sf_dir`` alone.
 
 Edge cases: null or empty texts have no language and leave in the first stage;
-rows that repeat an id leave all but one in the near-duplicate stage, rows without
-an id all stay there; empty inputs give empty outputs; extra columns pass through.
+of every near-duplicate class one row stays, that of the least id (rows without an id
+come after those with one), so different texts under one id are different documents, and
+repeated rows leave all but one; empty inputs give empty outputs.  Extra columns pass through all stages, whatever their
+names; the last one leaves out the text and columns that have the names of its results.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import op2_near, op3_language, op5_quality, op8_pieces, op10_decontaminate
-from tessera.llm.store import drop_path, fresh_path, table
+from tessera.llm.store import drop_path, every, fresh_path, settle, table, unused
 
 #: Documents of a lower language score are rejected.
 LEAST_LANGUAGE = 0.4
@@ -24,10 +26,10 @@ LEAST_LANGUAGE = 0.4
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents whose language is recognised."""
-    net = op3_language.train(*op3_language.training_rows(docs, "text", "lang", "doc_id"))
-    scored = op3_language.identify(docs, net)
-    kept = scored.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE))
-    return kept.select(*docs.columns)
+    net = op3_language.learn(docs)
+    pred, score = unused(docs, "lang_pred"), unused(docs, "lang_score")
+    scored = op3_language.identify(docs, net, pred=pred, score=score)
+    return scored.where((F.col(pred) != "und") & (F.col(score) >= LEAST_LANGUAGE)).drop(pred, score)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,18 +37,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = op5_quality.train(docs, table(spark, sf_dir, "labels"))
     if model.intercept == 0 and not any(t.any() for t in model.tables):
         return docs
-    return op5_quality.classify(docs, model).where("quality_pred = 1").select(*docs.columns)
+    pred, score = unused(docs, "quality_pred"), unused(docs, "quality_score")
+    return op5_quality.classify(docs, model, score=score, pred=pred).where(F.col(pred) == 1).drop(pred, score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document, that of the least id, of each near-duplicate class."""
-    classes = op2_near.near_duplicates(docs, "doc_id", "text")
-    heads = classes.where("class_id = doc_id").select(F.col("doc_id").alias("_head")).distinct()
-    kept = docs.join(heads, docs["doc_id"] == heads["_head"], "left_semi")
-    repeats = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeats:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    # Rows get numbers that a written table keeps: ids may be null or repeat.
+    row = unused(docs, "_row")
+    rows = settle(docs.select(*every(docs), F.monotonically_increasing_id().alias(row)), "rows")
+    classes = op2_near.near_duplicates(rows, row, "text").select(row, "class_id")
+    ids = rows.select(row, F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    kept = ids.join(classes, row).groupBy("class_id").agg(F.min(F.struct("none", "id", row)).alias("best")).select(F.col(f"best.{row}").alias(row))
+    return rows.join(kept, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +66,9 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     read = op8_pieces.decode(coded, vocabulary)
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(op8_pieces.MARKER), F.lit(" "))
     n = (F.octet_length("pieces") / 4).cast("long")
-    return read.select("doc_id", "lang", "source", "n_chars", n.alias("n_pieces"), F.crc32("pieces").alias("pieces_crc32"), same.alias("round_trip"), "pieces")
+    made = {"n_pieces": n, "pieces_crc32": F.crc32("pieces"), "round_trip": same, "pieces": F.col("pieces")}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in {*made, "text", "decoded"}]
+    return read.select(*kept, *[c.alias(name) for name, c in made.items()])
 
 
 STAGES = [

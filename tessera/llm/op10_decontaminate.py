@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from tessera.llm.arrowmap import add_columns
 from tessera.llm.kernels import Words, mix, slices, words
-from tessera.llm.store import settle, ship
+from tessera.llm.store import settle, ship, unused
 
 SEED, EXPECTED, THRESHOLD = 3, 0.05, 0.5
 BLOCK_WORDS = 1 << 20
@@ -286,8 +286,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents that leak an item; rows do not move."""
-    field = [T.StructField("_leak", T.DoubleType())]
-    out = docs
+    leak, out = unused(docs, "_leak"), docs
+    field = [T.StructField(leak, T.DoubleType())]
     for block in prepared(docs, benchmark, text, item, item_text):
 
         def make(block: Items = block):
@@ -301,5 +301,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
             return run
 
-        out = add_columns(out, text, field, make).where(F.col("_leak") < THRESHOLD).drop("_leak")
+        out = add_columns(out, text, field, make).where(F.col(leak) < THRESHOLD).drop(leak)
     return out

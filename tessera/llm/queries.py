@@ -28,8 +28,8 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import op3_language as op
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
-    net = op.train(*op.training_rows(docs.where(~F.coalesce(held, F.lit(False))), "text", "lang", "doc_id"))
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    net = op.learn(docs.where(~held))
     out = op.identify(docs, net, keep=["doc_id"])
     return out.select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
@@ -57,7 +57,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm import op5_quality as op
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     model = op.train(docs, table(spark, sf_dir, "labels"), ~held)
     out = op.classify(docs, model, keep=["doc_id"])
     return out.select("doc_id", held.alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_pred").alias("predicted"))
@@ -139,19 +139,19 @@ def queries() -> dict:
     }
 
 
-#: Every pair of different texts that share a shingle, compared exactly; classes by walking the links.
+#: Every pair of different texts that share a shingle, compared exactly; classes by walking the links.  Texts have numbers of their own: an id may stand on several.
 NEAR = r"""WITH RECURSIVE
-T AS (SELECT coalesce(text, '') AS text, min(doc_id) AS rep FROM documents GROUP BY 1),
-W AS (SELECT rep, regexp_extract_all(lower(text), '[^\x00-\x20]+') AS w FROM T),
-S AS (SELECT DISTINCT rep, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM W),
-N AS (SELECT rep, count(*) AS n FROM S GROUP BY 1),
-P AS (SELECT a.rep AS x, b.rep AS y, count(*) AS m FROM S a JOIN S b ON a.g = b.g AND a.rep <> b.rep GROUP BY 1, 2),
-L AS (SELECT x, y FROM P JOIN N a ON a.rep = x JOIN N b ON b.rep = y WHERE 5 * m >= 4 * (a.n + b.n - m)),
-R AS (SELECT rep, rep AS seen FROM T UNION SELECT R.rep, L.y FROM R JOIN L ON L.x = R.seen),
-C AS (SELECT rep, min(seen) AS class_id FROM R GROUP BY 1),
-K AS (SELECT x AS rep, count(*) AS n_links FROM L GROUP BY 1)
+T AS (SELECT text, rep, row_number() OVER (ORDER BY text) AS i FROM (SELECT coalesce(text, '') AS text, min(doc_id) AS rep FROM documents GROUP BY 1)),
+W AS (SELECT i, regexp_extract_all(lower(text), '[^\x00-\x20]+') AS w FROM T),
+S AS (SELECT DISTINCT i, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM W),
+N AS (SELECT i, count(*) AS n FROM S GROUP BY 1),
+P AS (SELECT a.i AS x, b.i AS y, count(*) AS m FROM S a JOIN S b ON a.g = b.g AND a.i <> b.i GROUP BY 1, 2),
+L AS (SELECT x, y FROM P JOIN N a ON a.i = x JOIN N b ON b.i = y WHERE 5 * m >= 4 * (a.n + b.n - m)),
+R AS (SELECT i, i AS seen FROM T UNION SELECT R.i, L.y FROM R JOIN L ON L.x = R.seen),
+C AS (SELECT R.i, min(rep) AS class_id FROM R JOIN T ON T.i = R.seen GROUP BY 1),
+K AS (SELECT x AS i, count(*) AS n_links FROM L GROUP BY 1)
 SELECT doc_id, T.rep AS text_class, class_id, coalesce(n_links, 0) AS n_links
-FROM documents JOIN T ON T.text = coalesce(documents.text, '') JOIN C ON C.rep = T.rep LEFT JOIN K ON K.rep = T.rep"""
+FROM documents JOIN T ON T.text = coalesce(documents.text, '') JOIN C ON C.i = T.i LEFT JOIN K ON K.i = T.i"""
 
 #: Base 32 takes 5 bits a letter: 4 letters from each 5 hexadecimal digits.
 WARC = """WITH D AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),

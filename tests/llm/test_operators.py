@@ -172,6 +172,40 @@ def test_near_duplicates_edges(spark, odd, none):
     assert op2_near.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_judge_each_row_by_its_text(spark):
+    rng = random.Random(5)
+    w = words_of(rng, 60, 5000).split()
+    near = " ".join([*w[:30], "other", *w[31:]])  # 51 of 61 shingles
+    other = words_of(rng, 40, 5000)
+    rows = [(1, other), (1, " ".join(w)), (3, near), (None, near + " x"), (None, other), (7, "lone"), (None, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text_class, r.class_id, r.n_links) for r in op2_near.near_duplicates(df.repartition(3)).collect()]
+    want = [(1, 1, 1, 0), (1, 1, 1, 2), (3, 3, 1, 2), (None, None, 1, 2), (None, 1, 1, 0), (7, 7, 7, 0), (None, None, None, 0)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_candidate_bitmap_loses_nothing(spark):
+    rows = spark.range(5000).select(F.md5(F.col("id").cast("string")).alias("digest"), "id")
+    wanted = rows.where("id % 50 = 0").select("digest")
+    got = {r.id for r in op2_near.passed(rows, wanted).collect()}
+    assert {i for i in range(0, 5000, 50)} <= got and len(got) < 1000
+
+
+def test_near_duplicate_sql_on_repeated_ids(spark, tmp_path):
+    import duckdb
+
+    from tessera.llm import queries
+
+    rng = random.Random(6)
+    base = [words_of(rng, 30, 5000) for _ in range(4)]
+    rows = [(i // 3, base[i % 4] + (f" e{i}" if i % 2 else "")) for i in range(24)] + [(2, None), (2, ""), (9, "a b")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in queries.op2_near(spark, str(tmp_path)).select("doc_id", "text_class", "class_id", "n_links").collect())
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(f"SELECT doc_id, text_class, class_id, n_links FROM ({queries.NEAR})").fetchall()) and any(r[3] for r in got)
+
+
 def test_pruning_bound():
     need = op2_near.fewest_matches()
     assert (np.diff(need) > 0).all() and 0 < need[0] < need[-1] < 0.8 * op2_near.HASHES
@@ -183,16 +217,50 @@ def test_pruning_bound():
 def test_language(spark, odd, none):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.col("doc_id") % 3 == 1
-    net = op3_language.train(*op3_language.training_rows(docs.where(~held), "text", "lang", "doc_id"))
+    net = op3_language.learn(docs.where(~held))
     seen = op3_language.identify(docs.where(held), net, keep=["lang"]).agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0]
     assert seen > 0.97
     got = {r.doc_id: (r.lang_pred, r.lang_score) for r in op3_language.identify(odd, net).collect()}
     assert all(got[i] == ("und", 0.0) for i in (0, 1, 2, 3)) and got[9][0] != "und" and all(0 <= s <= 1 for _, s in got.values())
     assert op3_language.identify(none, net).count() == 0
-    assert op3_language.train(*op3_language.training_rows(none, "text", "lang", "doc_id")) is None
+    assert op3_language.learn(none) is None
     assert op3_language.identify(odd, None).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(op3_language, "ROWS_A_LANGUAGE", 20)
+    rng = random.Random(3)
+    rows = [(i, "the cat is on the mat " * 30 + str(i), "en") for i in range(600)] + [(None, "der hund und das haus " * 40, "de")] * 300
+    rows += [(1000 + i, "le chat est sur la table " * 2000, f"l{i}") for i in range(3)]  # rare languages, long texts
+    seen = {}
+    monkeypatch.setattr(op3_language, "train_windows", lambda r, labels, languages: seen.update(rows=r, labels=labels, languages=languages))
+    rng.shuffle(rows)
+    op3_language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    n = Counter(seen["labels"])
+    assert seen["languages"] == ["de", "en", "l0", "l1", "l2"] and seen["rows"].shape == (sum(n.values()), op3_language.LENGTH + 3)
+    assert 10 * 3 <= n["en"] <= 20 * 4 and n["de"] == n["l0"] == 4  # one distinct row each
+
+
+def test_null_ids_are_not_held_out(spark, tmp_path):
+    from tessera.llm import queries
+
+    rows = [(None, "one two three. " * 20, "en"), (None, "eins zwei drei, " * 20, "de"), (4, "and so on it goes " * 9, "en")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, 1, 0), (4, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("op3_language", "op5_quality"):
+        got = queries.queries()[name](spark, str(tmp_path)).collect()
+        assert len(got) == 3 and all(r.held_out is not None and 0 <= r.score <= 1 for r in got)
+
+
+def test_quality_takes_one_row_a_key(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(op5_quality, "fit", lambda x, y: seen.append((x.shape[0], y.tolist())))
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(50)] + [(2, "other"), (3, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, 1), (4, 1), (None, 1)], "doc_id long, quality int")
+    op5_quality.train(docs, labels)
+    assert seen == [(3, [1.0, 0.0, 1.0])]
+
+
 def test_language_pair_tables_equal_plain_convolution():
     net = op3_language.train(["the cat sat on the mat and went home", "der hund und die katze gehen nach haus"] * 3, ["en", "de"] * 3)
     rows, _ = op3_language.windows(*kernels.text_bytes(pa.array(["the hund sat", "x" * 600])))
@@ -298,6 +366,14 @@ def test_warc(spark):
     of = {r.page_id: (r.record_type, r.refers_to) for r in got}
     assert of[42] == ("response", None) and of[40] == of[41] == of[None] == ("revisit", 42) and of[43] == ("revisit", 44) and of[44] == ("response", None)
     assert op7_warc.read_archives(op7_warc.write_archives(df.where("false"))).count() == 0
+    ids, refers = [], set()
+    for r in archives.collect():
+        for head, _ in op7_warc.unpack(bytes(r.content)):
+            ids.append((head["WARC-Record-ID"], head["WARC-Type"]))
+            refers |= {head["WARC-Refers-To"]} if "WARC-Refers-To" in head else set()
+    assert len({i for i, _ in ids}) == len(ids) == len(rows) and refers <= {i for i, t in ids if t == "response"}
+    odd = df.withColumns({"record_type": F.lit("x"), "d": F.lit(1), "i": F.lit(2)})
+    assert op7_warc.read_archives(op7_warc.write_archives(odd)).count() == len(rows)
 
 
 def test_warc_bytes():
@@ -526,6 +602,40 @@ def test_pipeline(spark):
     assert 0 < out.count() < docs.count() and out.where("not round_trip").count() == 0
 
 
+def test_pipeline_stages_keep_columns_and_rows_apart(spark, odd, none):
+    import corpus_pipeline
+
+    rng = random.Random(2)
+    near = words_of(rng, 60, 5000)
+    rows = [(5, near, "en"), (5, words_of(rng, 50, 5000), "en"), (6, near + " more", "en"), (None, words_of(rng, 40, 5000), "en"), (None, near + " else", "en"), (7, near, "en"), (8, words_of(rng, 30), None)]
+    rows += [rows[6]]
+    extra = {"lang_pred": F.lit("p"), "lang_score": F.lit("s"), "quality_score": F.lit("q"), "QUALITY_PRED": F.lit(7), "_leak": F.lit("l"), "_row": F.lit("r"), "a.b": F.lit("dot"), "n_pieces": F.lit("n"), "decoded": F.lit("d")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"source": F.lit("s"), "n_chars": F.lit(1)}).withColumns(extra)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name != "pieces":
+            assert out.schema.names == docs.schema.names and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema]
+        for r in out.select(*[F.col(f"`{c}`") for c in out.columns]).collect():
+            got = r.asDict()
+            assert all(got.get(c, "") == v for c, v in {"lang_pred": "p", "_leak": "l", "_row": "r", "a.b": "dot", "QUALITY_PRED": 7}.items())
+        if name == "near_duplicates":
+            assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted([(0, rows[3][1]), (5, near), (5, rows[1][1]), (8, rows[6][1])])
+        if name == "pieces":
+            assert {r.n_pieces for r in out.collect()} != {"n"} and out.where("round_trip").count() == len(rows)
+        assert stage(spark, odd, SF).count() <= odd.count() and stage(spark, none, SF).count() == 0
+
+
+def test_pipeline_language_and_leaks(spark):
+    import corpus_pipeline
+
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    net = op3_language.learn(docs)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in op3_language.identify(docs, net).where(f"lang_pred <> 'und' and lang_score >= {corpus_pipeline.LEAST_LANGUAGE}").collect()}
+    kept = {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()} - {r.doc_id for r in op10_decontaminate.leaks(docs, items).collect()}
+
+
 def test_pipeline_quality_is_the_classifiers(spark, tmp_path, monkeypatch):
     import corpus_pipeline
 
