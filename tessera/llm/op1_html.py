@@ -1,50 +1,56 @@
-"""Main text of web pages: page structure, and a suffix array over each host's token streams.
+"""Main text of web pages: page structure, and suffix arrays over each host's token streams.
 
-1. A page is cut into blocks.  A block is *main* (inside an article, or inside
+1. A page is parsed once, into blocks.  A block is *main* (inside an article, or inside
    main where there is no article), *chrome* (in a menu, header, footer, sidebar,
-   notice, advert, form or comment element) or *open* (neither).
-2. The blocks outside the main ones form the page's token stream.  Streams are
-   concatenated and their suffixes sorted (prefix doubling) to depth ``RUN``;
-   suffixes of one host that agree to that depth on more than half of its distinct
-   pages (two at least) start a repeated substring, and overlapping starts join to
-   longer ones; what a few pages share is a copy or a quote.  Arrays are built over
-   chunks of at most ``CHUNK`` tokens; the pages of their classes are counted
-   together and starts meet the counts in an equi-join, so the cover is that of one
-   array over the whole host, however large.
-3. A page with main blocks yields these, less the whole blocks that stand on more
-   than half of the host's distinct main texts, and on ``MAIN_PAGES`` at least (see
-   :func:`common_blocks`); if they are the larger part of the page, it is itself a
-   copy and all stay.  Other article text that recurs (copies, quotes) is content.
+   notice, advert, form or comment element) or *open* (neither).  End tags that HTML lets a
+   page leave out are implied.  Class names mark an element as chrome only if every word of the
+   name is of that kind or says nothing; in the middle of a sentence a marked inline element is text.
+2. All blocks of a page are its token stream, with a separator before each block and after the last.  The
+   streams of a host's distinct pages (those of unlike main, or else open, text) are concatenated into
+   suffix arrays of at most ``CHUNK`` tokens: full suffix order with common-prefix lengths.  A
+   repeated substring is a run of ``RUN`` tokens, or a whole block between its separators,
+   that stands on more than half of the host's distinct pages: on two at least, a block on ``MAIN_PAGES``.
+   (A longer substring on so many pages is the union of its runs.)
+   What fewer pages share is a copy or a quote.
+3. A host whose pages fill several arrays is counted exactly: what more than half of all pages have, more than half
+   of the pages of some array have, and these candidates are counted again in all of its pages.
+4. A page with main blocks yields these, less those that are repeated blocks; if these are the larger part of the
+   page, it is itself a copy and all stay.
    A page without main blocks yields its open blocks less the words that repeated
    substrings cover; if they leave no block half uncovered and no stretch of ``RUN``
    words, the page is itself a copy and its open blocks stay.
 
+Rows are told apart by numbers of their own, and pages are dealt by ranges of (host, text, row), so neither a host, a page that
+is copied often nor a repeated or null key gathers in one task.
+
 Edge cases: null or empty html gives an empty text; a page whose url has no host
-belongs to host ''; pages of one host with equal html are one page for "distinct
+belongs to host ''; pages of equal text on one host are one page for "distinct
 pages", whatever their ids.  Unclosed tags, unfinished references and pages cut
 off anywhere are read as far as they go.  Extra columns are carried along by
-:func:`extract`, except ones named like its results.
+:func:`extract`, except one named like its result.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.arrowmap import add_columns
-from tessera.llm.kernels import mix, slices, words
-from tessera.llm.store import settle, ship
+from tessera.llm.kernels import _power_tables, mix, slices, words
+from tessera.llm.store import drop_path, settle, settled_at, ship
 
-#: Words a repeated substring has at least, and words an array is built over at most.
+#: Tokens a repeated substring has at least (unless it is a whole block), and tokens an array is built over at most.
 RUN, CHUNK = 8, 1 << 20
-#: Distinct main texts of a host that a block inside main ones is on at least to be boilerplate.
+#: Distinct pages of a host that a block is on at least to be boilerplate as a whole.
 MAIN_PAGES = 5
 
 _RAW = "script|style|noscript|template|svg|math|textarea|select|iframe|object|canvas|title|audio|video"
@@ -53,31 +59,64 @@ _MARKUP = re.compile(
     r"""|<(/?)([a-z][a-z0-9:-]*)([^<>"']*(?:(?:"[^"]*"|'[^']*')[^<>"']*)*|[^>]*)>|<(?=/?[a-z!?])[^>]*\Z""",
     re.S | re.I,
 )
-_NAMES = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+# Element kinds of HTML and words of class names (fixed values).
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_CHROME = frozenset("aside button datalist dialog fieldset footer form head header menu nav search".split())
-_NESTED = frozenset("article aside blockquote button datalist details dialog div fieldset figure footer form head header main menu nav ol search section span table td th tr ul".split())
+_CHROME = frozenset("aside datalist dialog fieldset footer form head header menu nav search".split())
+_NESTED = _BLOCK - frozenset("body h1 h2 h3 h4 h5 h6 hr html legend option p".split())
+_ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre search section summary table ul".split())
+_SCOPE = _NESTED - {"address", "div"}
+#: Open elements that a start tag ends, and those beyond which it does not look.
+_IMPLIED = {
+    "li": ({"li"}, _SCOPE - {"li"}),
+    "dd": ({"dd", "dt"}, _SCOPE - {"dd", "dt"}),
+    "dt": ({"dd", "dt"}, _SCOPE - {"dd", "dt"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+    "tr": ({"td", "th", "tr"}, {"table", "thead", "tbody", "tfoot"}),
+    "thead": ({"td", "th", "tr", "thead", "tbody", "tfoot"}, {"table"}),
+}
+_IMPLIED["tbody"] = _IMPLIED["tfoot"] = _IMPLIED["thead"]
+_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _CHROME_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "newsletter subscribe subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended "
-    "comment comments disqus replies discussion footer header masthead popup modal overlay pagination pager toolbar complementary contentinfo search widget".split()
+    "ad ads adv advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion cookie cookies consent gdpr newsletter subscribe "
+    "subscription signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs share sharing social related recommended comment comments disqus replies "
+    "discussion footer popup modal overlay pagination pager toolbar complementary contentinfo".split()
+)
+#: Words that mark chrome unless the name also says what they belong to.
+_WEAK_WORDS = frozenset("alert banner header masthead notice notices search widget".split())
+_OWNERS = frozenset("article block content entry page post section story text".split())
+_NEUTRAL = frozenset(
+    "active all and area bar body bottom box button buttons by cell closed col column container count desktop facebook field fixed floating follow for form global google group "
+    "heading icon icons in inline inner input item items js large latest left like link links list lists lower main media mini mobile more new news of on open our outer panel "
+    "posts primary reader readers region right row secondary site slot small space spot sticky the this thread title to toggle top twitter unit upper us user users video visible "
+    "web with wrap wrapper your zone".split()
 )
-_SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+_SPLIT = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 
 
-def _is_chrome(tag: str, attributes: str) -> bool:
-    if tag in _CHROME:
-        return True
-    if "=" not in attributes and "hidden" not in attributes:
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    if tag in ("html", "body", "main"):
+def names_chrome(name: str) -> bool:
+    """Whether one class name or id says chrome: some word does, and no other word says something else."""
+    found = [w.lower() for w in _SPLIT.split(name) if len(w) > 1]
+    if not any(w in _CHROME_WORDS or w in _WEAK_WORDS for w in found):
         return False
+    weak = not any(w in _CHROME_WORDS for w in found)
+    return all(w in _CHROME_WORDS or w in _WEAK_WORDS or w in _NEUTRAL or (w in _OWNERS and not weak) for w in found)
+
+
+def _marked(attributes: str) -> bool:
     for m in _NAMES.finditer(attributes):
-        if not _CHROME_WORDS.isdisjoint(w.lower() for w in _SPLIT.split(m[1] or m[2] or m[3] or "")):
+        value = m[2] or m[3] or m[4] or ""
+        kind = m[1].lower()
+        if kind == "role":
+            if value.strip().lower() in _ROLES:
+                return True
+        elif kind == "aria-label":
+            if names_chrome(value):
+                return True
+        elif any(names_chrome(x) for x in value.split()):
             return True
     return False
 
@@ -86,20 +125,51 @@ def blocks(page: str) -> list[tuple[str, str]]:
     """The page's non-empty blocks in order: (kind, text); kinds 'article', 'main', 'open', 'chrome'."""
     out: list[tuple[str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, str]] = []
-    kind, at = "open", 0
+    stack: list[tuple[str, str, bool, bool]] = []
+    opened: Counter = Counter()
+    kind, mute, soft, plain, at = "open", False, False, False, 0
 
     def close() -> None:
+        nonlocal plain
         if parts:
             text = " ".join("".join(parts).split())
             parts.clear()
             if text:
-                out.append((kind, text))
+                out.append((kind if plain else "chrome", text))
+        plain = False
+
+    def add(chunk: str) -> None:
+        nonlocal plain
+        if mute:
+            return
+        if "&" in chunk:
+            chunk = html_lib.unescape(chunk)
+        parts.append(chunk)
+        plain = plain or (not soft and not chunk.isspace())
+
+    def leave(i: int) -> None:
+        nonlocal kind, mute, soft
+        for tag, *_ in stack[i:]:
+            opened[tag] -= 1
+        _, new, mute, soft = stack[i]
+        if new != kind:
+            close()
+        kind = new
+        del stack[i:]
+
+    def imply(ended: set[str], stop: frozenset[str]) -> None:
+        if not any(opened[t] for t in ended):
+            return
+        for i in range(len(stack) - 1, -1, -1):
+            if stack[i][0] in ended:
+                leave(i)
+                return
+            if stack[i][0] in stop:
+                return
 
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            chunk = page[at : m.start()]
-            parts.append(html_lib.unescape(chunk) if "&" in chunk else chunk)
+            add(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -107,26 +177,46 @@ def blocks(page: str) -> list[tuple[str, str]]:
         tag = tag.lower()
         if tag in _BLOCK:
             close()
-        elif tag == "br":
+        elif tag == "br" and not mute:
             parts.append(" ")
-        if tag in _VOID:
-            continue
         if m[2]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    new = stack[i][1]
-                    if new != kind:
-                        close()
-                    kind = new
-                    del stack[i:]
+            if opened[tag]:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i][0] == tag:
+                        leave(i)
+                        break
+                    if stack[i][0] in ("td", "th", "table") and tag not in ("table", "tr", "thead", "tbody", "tfoot"):
+                        break
+            continue
+        if tag in _ENDS_P and opened["p"]:
+            imply({"p"}, frozenset(("button", "caption", "table", "td", "th")))
+        if tag in _IMPLIED:
+            while tag in ("tr", "thead", "tbody", "tfoot") and any(opened[t] for t in _IMPLIED[tag][0]):
+                before = len(stack)
+                imply(*_IMPLIED[tag])
+                if len(stack) == before:
                     break
+            else:
+                imply(*_IMPLIED[tag])
+        if tag in _VOID:
+            continue
+        attributes = m[4]
+        chrome, inline, hidden = tag in _CHROME, tag not in _BLOCK, tag == "button"
+        if not hidden and ("=" in attributes or "hidden" in attributes):
+            hidden = _HIDDEN.search(attributes) is not None
+            chrome = chrome or (tag not in ("html", "body", "main") and _marked(attributes))
+        if inline and (hidden or chrome):
+            # Nothing of a hidden element or a button shows; of a marked one only what stands among other text.
+            stack.append((tag, kind, mute, soft))
+            opened[tag] += 1
+            mute, soft = mute or hidden, soft or chrome
             continue
-        chrome = _is_chrome(tag, m[4])
-        if not (chrome or tag in _NESTED):
+        chrome = chrome or hidden
+        if not (chrome or tag in _NESTED or opened[tag]):
             continue
         new = kind
         if chrome or kind == "chrome":
-            heading = tag == "header" and kind == "article" and not _is_chrome("div", m[4])
+            heading = tag == "header" and kind == "article" and not hidden and not _marked(attributes)
             new = "heading" if heading else "chrome"
         elif tag == "article":
             new = "article"
@@ -136,11 +226,11 @@ def blocks(page: str) -> list[tuple[str, str]]:
             new = "heading"
         if new != kind:
             close()
-        stack.append((tag, kind))
+        stack.append((tag, kind, mute, soft))
+        opened[tag] += 1
         kind = new
     if at < len(page):
-        chunk = page[at:]
-        parts.append(html_lib.unescape(chunk) if "&" in chunk else chunk)
+        add(page[at:])
     close()
     return [("article" if k == "heading" else k, t) for k, t in out]
 
@@ -153,143 +243,301 @@ def main_of(found: list[tuple[str, str]]) -> list[str] | None:
     return None
 
 
-def _parsed(column: pa.Array) -> Iterator[list[tuple[str, str]]]:
-    for page in column.to_pylist():
-        yield blocks(page) if page else []
-
-
 def host_of(url: str) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)), F.lit(""))
 
 
-def common_blocks(settled: DataFrame, url: str) -> DataFrame:
-    """(host, common): hashes of the main blocks on more than half of the host's distinct main texts; fewer than two mean texts have."""
-    rows = settled.where("not _open and text <> ''").select(F.xxhash64(host_of(url)).alias("host"), F.xxhash64("text").alias("content"), F.split("text", "\n").alias("blocks"))
-    total = rows.groupBy("host").agg(F.count_distinct("content").alias("total"))
-    each = rows.select("host", "content", F.explode("blocks").alias("block")).select("host", "content", F.xxhash64("block").alias("block"))
-    on = each.distinct().groupBy("host", "block").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MAIN_PAGES)
-    common = settle(on.join(total, "host").where("2 * n > total").select("host", "block"), "common")
-    return common.groupBy("host").agg(F.collect_set("block").alias("_common"))
-
-
-def repeated(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(page, at): word numbers in the streams of pages without main blocks at which the host's repeated substrings of RUN words start."""
-    ship(pages.sparkSession)
-    host = F.xxhash64(host_of(url))
-    rows = pages.select(F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("page"), host.alias("host"), F.xxhash64(host, html).alias("content"), F.col(html).alias("html"))
-
-    def classes(page: np.ndarray, host: np.ndarray, content: np.ndarray, unsettled: np.ndarray, at: np.ndarray, first: np.ndarray, gram: np.ndarray, left: np.ndarray) -> pa.RecordBatch:
-        """Rows of one suffix array.  first: the words' ranks; left: words to the end of the page."""
-        rank, depth = first, 1
-        while depth < RUN:
-            ahead = np.full(len(rank), -1, np.int64)
-            ahead[:-depth] = rank[depth:]
-            ahead[left <= depth] = -1 - np.flatnonzero(left <= depth)  # the page ends: like no other
-            order = np.lexsort((ahead, rank))
-            step = (np.diff(rank[order], prepend=-1) != 0) | (np.diff(ahead[order], prepend=0) != 0)
-            step[0] = True
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.cumsum(step) - 1
-            depth *= 2
-        suffixes = np.lexsort((content, rank))
-        suffixes = suffixes[left[suffixes] >= RUN]
-        # A row for each page of a class; and for each start in a page that the cover decides.
-        new = (np.diff(rank[suffixes], prepend=-1) != 0) | (np.diff(content[suffixes], prepend=0) != 0)
-        new[:1] = True
-        one, starts = suffixes[new], suffixes[unsettled[suffixes]]
-        cols = [
-            np.concatenate([gram[one], gram[starts]]),
-            np.concatenate([host[one], host[starts]]),
-            np.concatenate([content[one], page[starts]]),
-            np.concatenate([np.full(len(one), -1), at[starts]]).astype(np.int32),
-        ]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["gram", "host", "page", "at"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+def suffix_array(first: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes of the tokens ``first`` in order, and the length of the common prefix of each with the one before it.
+
+    A suffix ends with its page, in an end that no other page has.  Prefix doubling, where only ties are sorted again.
+    """
+    n = len(first)
+    ends = np.append(np.flatnonzero(np.diff(page)) + 1, n)
+    left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(n)
+    order = np.argsort(first)
+    begins = np.diff(first[order], prepend=first[order[:1]] - 1 if n else 0) != 0
+    rank = np.empty(n, np.int64)
+    starts = np.flatnonzero(begins)
+    sizes = np.diff(np.append(starts, n))
+    rank[order] = np.repeat(starts, sizes)
+    tied = order[np.repeat(sizes > 1, sizes)]
+    levels, depth, pages = [], 1, int(page[-1]) + 2 if n else 1
+    while True:
+        levels.append(rank.astype(np.int32))
+        if not len(tied):
+            break
+        after = np.where(left[tied] > depth, rank[np.minimum(tied + depth, n - 1)] + pages, pages - 2 - page[tied])
+        key = rank[tied] * (n + pages + 1) + after
+        turn = np.argsort(key)
+        tied, key = tied[turn], key[turn]
+        old = rank[tied]
+        new = np.diff(key, prepend=key[0] - 1) != 0
+        of_old = np.maximum.accumulate(np.where(np.diff(old, prepend=-1) != 0, np.arange(len(tied)), 0))
+        of_new = np.maximum.accumulate(np.where(new, np.arange(len(tied)), 0))
+        rank = rank.copy()
+        rank[tied] = old + of_new - of_old
+        sizes = np.diff(np.append(np.flatnonzero(new), len(tied)))
+        tied = tied[np.repeat(sizes > 1, sizes)]
+        depth *= 2
+    array = np.empty(n, np.int64)
+    array[rank] = np.arange(n)
+    common = np.zeros(n, np.int64)
+    at = np.arange(1, n)
+    for k in range(len(levels) - 1, -1, -1):
+        # Equal ranks at a level mean 2^k equal tokens, all within both pages.
+        i, j = array[at - 1] + common[at], array[at] + common[at]
+        inside = (common[at] < left[array[at - 1]]) & (common[at] < left[array[at]])
+        i, j = np.minimum(i, n - 1), np.minimum(j, n - 1)
+        common[at] += np.where(inside & (levels[k][i] == levels[k][j]), 1 << k, 0)
+    return array, common
+
+
+class Streams:
+    """Token streams of pages given by their blocks: a separator before every block and after the last."""
+
+    def __init__(self, texts: pa.Array) -> None:
+        flat, sizes = texts.flatten(), pc.list_value_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        w = words(flat, lower=False)
+        self.words, n = w, len(sizes)
+        counts = np.diff(w.bounds)
+        #: Page of each block; tokens of each page, a separator for each block and one more.
+        self.page_of_block = np.repeat(np.arange(n), sizes)
+        tokens = np.bincount(self.page_of_block, counts + 1, n).astype(np.int64) + (sizes > 0)
+        self.page = np.repeat(np.arange(n), tokens)
+        #: Places of the separators that begin blocks, and of the words.
+        self.blocks = np.cumsum(counts + 1) - (counts + 1) + np.cumsum(np.diff(self.page_of_block, prepend=self.page_of_block[:1]) > 0)
+        self.counts = counts
+        self.place = self.blocks[w.doc] + 1 + np.arange(len(w.doc)) - w.bounds[w.doc]
+        self.token = np.full(len(self.page), _SEPARATOR, np.uint64)
+        self.token[self.place] = w.hash
+        up, down = _power_tables(len(self.token) + 2)
+        sums = np.zeros(len(self.token) + 1, np.uint64)
+        np.cumsum(self.token * up[: len(self.token)], out=sums[1:])
+        #: Hashes of the runs by their first tokens, and of the whole blocks with both separators.
+        self.starts = np.flatnonzero(self.page[: max(0, len(self.page) - RUN + 1)] == self.page[RUN - 1 :]) if len(self.page) >= RUN else np.empty(0, np.int64)
+        self.runs = mix((sums[self.starts + RUN] - sums[self.starts]) * down[self.starts]).view(np.int64)
+        over = self.blocks + counts + 2
+        self.whole = mix((sums[over] - sums[self.blocks]) * down[self.blocks] + (counts.astype(np.uint64) << np.uint64(1)) + np.uint64(1)).view(np.int64)
+
+
+_SEPARATOR = np.uint64(0x5E9A7A7E5E9A7A7F)
+
+
+def repeats(s: Streams, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each run and each whole block in the suffix array of these pages (of the hosts ``host``): hash, a page, number of pages, the least that is asked for."""
+    first = np.unique(s.token ^ mix(host.view(np.uint64))[s.page], return_inverse=True)[1].astype(np.int64)
+    array, common = suffix_array(first, s.page)
+    n, pages = len(first), len(host)
+    code, length, found = np.zeros(n, np.int64), np.full(n, RUN), []
+    for at, hashes, least in ((s.starts, s.runs, 2), (s.blocks, s.whole, MAIN_PAGES)):
+        if not len(at):
+            continue
+        code[at] = hashes
+        if least == MAIN_PAGES:
+            length[at] = s.counts + 2
+        chosen = np.zeros(n, bool)
+        chosen[at] = True
+        places = np.flatnonzero(chosen[array])
+        some = array[places]
+        # Neighbours with their length in common are one substring.
+        shared = np.minimum.reduceat(common[: places[-1] + 1], np.r_[places[:1], places[:-1] + 1])
+        new = (shared < length[some]) | (np.diff(length[some], prepend=0) != 0)
+        new[0] = True
+        times = np.bincount(np.unique((np.cumsum(new) - 1) * pages + s.page[some]) // pages)
+        found.append((code[some[new]], s.page[some[new]], times, np.full(len(times), least)))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+
+
+def parsed(pages: DataFrame, keep: list[str], url: str, html: str) -> DataFrame:
+    """The pages with their blocks, dealt by host: (the kept columns as c0, c1, ...; host, content, part, nth, first, kinds, texts).
+
+    ``first`` marks one page of each host and content; nth numbers these within a part.
+    """
+    spark = pages.sparkSession
+    ship(spark)
+    named = lambda c: pages[f"`{c.replace('`', '``')}`"]
+    carried = [named(c).alias(f"c{i}") for i, c in enumerate(keep)]
+    source = pages.select(*carried, F.monotonically_increasing_id().alias("row"), F.xxhash64(host_of(named(url))).alias("host"), named(html).alias("html"))
+    inner = T.StructType([*source.schema.fields[:-1], T.StructField("kinds", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType()))])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                found = [blocks(x) if x else [] for x in part.column("html").to_pylist()]
+                kinds = ["".join(k[0] for k, _ in f) for f in found]
+                cols = [*part.columns[:-1], pa.array(kinds, pa.string()), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(cols, inner.names)
+
+    path, rows = settled_at(source.mapInArrow(parse, inner), "parsed")
+    # The text by which pages of a host are told apart: the main blocks, or else the open ones.
+    best = F.when(F.contains("kinds", F.lit("a")), "a").when(F.contains("kinds", F.lit("m")), "m").otherwise("o")
+    own = F.filter("texts", lambda x, i: F.substr(F.col("kinds"), i + 1, F.lit(1)) == best)
+    rows = rows.withColumn("content", F.xxhash64("host", own)).repartitionByRange("host", "content", "row").sortWithinPartitions("host", "content", "row")
+    outer = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType()), T.StructField("first", T.BooleanType())])
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, seen = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            host, content = (batch.column(c).to_numpy() for c in ("host", "content"))
+            new = np.r_[last != (host[0], content[0]), (np.diff(host) != 0) | (np.diff(content) != 0)]
+            last = (host[-1], content[-1])
+            nth = seen + np.cumsum(new) - 1
+            seen = int(nth[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(host), part, np.int32)), pa.array(nth), pa.array(new)], outer.names)
+
+    out = settle(rows.mapInArrow(mark, outer), "pages")
+    drop_path(spark, path)
+    # A group of equal pages may go on in the next parts: one row a part tells which.
+    group = F.struct("host", "content")
+    edges = sorted(out.groupBy("part").agg(F.min(group).alias("a"), F.max(group).alias("b")).collect())
+    again = [(r.part, *r.a) for before, r in zip(edges, edges[1:]) if before.b == r.a]
+    if not again:
+        return out
+    known = spark.createDataFrame(again, "part int, host long, content long").withColumn("again", F.lit(True))
+    return out.join(F.broadcast(known), ["part", "host", "content"], "left").withColumn("first", F.col("first") & F.col("again").isNull()).drop("again")
+
+
+def _cut(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Runs of rows of about ``most`` bytes of texts, and their bytes."""
+    texts = batch.column("texts")
+    sizes = np.cumsum(np.r_[0, pc.fill_null(pc.binary_length(texts.flatten()), 0).to_numpy(zero_copy_only=False)])
+    edges = np.cumsum(np.r_[0, pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)])
+    ends, at = sizes[edges], 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield batch.slice(at, stop - at), int(ends[stop] - ends[at])
+        at = stop
+
+
+def boilerplate(rows: DataFrame) -> DataFrame:
+    """(host, grams): hashes of the repeated substrings of each host that has some."""
+    distinct = rows.where("first").select("host", "part", "nth", "texts")
+
+    def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What more than half of a host's pages in the array have; ``all``: these are all its pages."""
+        held: list[pa.RecordBatch] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            page, host, content, unsettled, hashes, left, at = (np.concatenate(c) for c in zip(*held))
-            gram = np.zeros(len(hashes), np.uint64)
-            for k in range(RUN):
-                gram[: len(gram) - k] = gram[: len(gram) - k] * np.uint64(0x9E3779B97F4A7C15) + hashes[k:]
-            return classes(page, host, content, unsettled, at, np.unique(hashes, return_inverse=True)[1].astype(np.int64), mix(gram).view(np.int64), left)
+            t = pa.Table.from_batches(held).combine_chunks()
+            host, part, nth = (t.column(c).to_numpy() for c in ("host", "part", "nth"))
+            # A host is here with all its pages if they are one stretch, with pages of other hosts before and after it.
+            follows = np.r_[False, (np.diff(part) == 0) & (np.diff(nth) == 1), False]
+            begin = np.flatnonzero(np.r_[True, ~follows[1:-1] | (np.diff(host) != 0)])
+            hosts, of = np.unique(host, return_inverse=True)
+            stretches = np.bincount(of[begin])
+            inside = np.bincount(of[begin], follows[begin] & follows[np.append(begin[1:], len(host))])
+            whole = (stretches == 1) & (inside == 1)
+            total = np.bincount(of)
+            gram, page, n, least = repeats(Streams(t.column("texts").combine_chunks()), host)
+            fits = (2 * n > total[of[page]]) & (~whole[of[page]] | (n >= least))
+            gram, at, least = gram[fits], of[page][fits], least[fits]
+            return pa.RecordBatch.from_arrays([pa.array(hosts[at]), pa.array(gram), pa.array(least), pa.array(whole[at])], ["host", "gram", "least", "all"])
 
         for batch in batches:
-            for part in slices(batch, "html"):
-                streams, unsettled = [], []
-                for found in _parsed(part.column("html")):
-                    main = main_of(found)
-                    streams.append("\n".join(t for k, t in found if k in ("open", "chrome") or (k == "main" and main is None)))
-                    unsettled.append(main is None)
-                w = words(pa.array(streams, pa.string()))
-                if not len(w.hash):
-                    continue
-                bounds = w.bounds
-                page, host, content = (part.column(c).to_numpy()[w.doc] for c in ("page", "host", "content"))
-                held.append((page, host, content, np.array(unsettled, bool)[w.doc], mix(w.hash ^ mix(host.view(np.uint64))), bounds[w.doc + 1] - np.arange(len(w.doc)), np.arange(len(w.doc)) - bounds[w.doc]))
-                size += len(w.hash)
-                if size >= CHUNK:
+            for one, n in _cut(batch, 6 * CHUNK):
+                held.append(one)
+                size += n
+                if size >= 6 * CHUNK:
                     yield flush()
                     held, size = [], 0
         if held:
             yield flush()
 
-    found = settle(rows.mapInArrow(run, "gram long, host long, page long, at int"), "starts")
-    starts = found.where("at >= 0").select("gram", "page", "at")
-    # Only grams of pages that the cover decides are counted.
-    on = found.where("at < 0").join(starts.select("gram").distinct(), "gram", "left_semi").select("gram", "host", "page").distinct()
-    on = on.groupBy("gram", "host").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    total = rows.where("html <> ''").select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    return starts.join(on.join(total, "host").where("2 * n > total").select("gram"), "gram", "left_semi").select("page", "at")
-
+    found = settle(distinct.mapInArrow(arrays, "host long, gram long, least long, all boolean"), "repeated")
+    known = found.where("all").select("host", "gram")
+    # Hosts over several arrays: their candidates, each of which more than half of an array's pages have, are counted in all their pages.
+    asked = found.where("not all").select("host", "gram", "least").distinct()
+    lists = asked.groupBy("host").agg(F.collect_list("gram").alias("grams"))
 
-def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _ in _cut(batch, 1 << 20):
+                s, host = Streams(part.column("texts")), part.column("host").to_numpy()
+                for a, b in _groups(host):
+                    wanted = part.column("grams")[a].values.to_numpy()
+                    for codes, pages in ((s.runs, s.page[s.starts]), (s.whole, s.page_of_block)):
+                        lo, hi = np.searchsorted(pages, (a, b))
+                        hit = np.isin(codes[lo:hi], wanted)
+                        # Once a page.
+                        both = np.unique(np.stack([pages[lo:hi][hit], codes[lo:hi][hit]], axis=1), axis=0)[:, 1]
+                        gram, n = np.unique(both, return_counts=True)
+                        if len(gram):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), host[a])), pa.array(gram), pa.array(n)], ["host", "gram", "n"])
+
+    totals = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    counted = distinct.join(lists, "host").select("host", "texts", "grams").mapInArrow(count, "host long, gram long, n long")
+    counted = counted.groupBy("host", "gram").agg(F.sum("n").alias("n")).join(asked, ["host", "gram"]).join(totals, "host")
+    known = known.unionByName(counted.where("2 * n > total and n >= least").select("host", "gram"))
+    return settle(known.distinct().groupBy("host").agg(F.collect_list("gram").alias("grams")), "boilerplate")
+
+
+def _groups(host: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of rows of one host."""
+    begin = np.flatnonzero(np.r_[True, np.diff(host) != 0]) if len(host) else np.empty(0, np.int64)
+    yield from zip(begin.tolist(), np.append(begin[1:], len(host)).tolist())
+
+
+def uncovered(s: Streams, host: np.ndarray, kinds: list[str], texts: list[list[str]], grams: pa.Array) -> list[str]:
+    """The main text of each page, given the hashes of its host's repeated substrings."""
+    out = []
+    begins = np.searchsorted(s.page_of_block, np.arange(len(kinds) + 1))
+    run_pages = s.page[s.starts]
+    for a, b in _groups(host):
+        known = grams[a].values.to_numpy() if grams[a].is_valid else np.empty(0, np.int64)
+        whole = np.isin(s.whole[begins[a] : begins[b]], known)
+        lo, hi = np.searchsorted(run_pages, (a, b))
+        starts = s.starts[lo:hi][np.isin(s.runs[lo:hi], known)]
+        for i in range(a, b):
+            best = "a" if "a" in kinds[i] else "m" if "m" in kinds[i] else "o"
+            cut = whole[begins[i] - begins[a] : begins[i + 1] - begins[a]]
+            if best != "o":
+                chosen = [(t, c) for k, t, c in zip(kinds[i], texts[i], cut) if k == best]
+                size, gone = sum(len(t) + 1 for t, _ in chosen), sum(len(t) + 1 for t, c in chosen if c)
+                out.append("\n".join(t for t, c in chosen if not c or 2 * gone > size))
+                continue
+            unique, all_open, own = [], [], False
+            for j, (k, t) in enumerate(zip(kinds[i], texts[i])):
+                if k != "o":
+                    continue
+                all_open.append(t)
+                block = begins[i] + j
+                at, n = s.blocks[block] + 1, s.counts[block]
+                near = starts[np.searchsorted(starts, at - RUN + 1) : np.searchsorted(starts, at + n)]
+                bare = np.ones(n, bool)
+                for p in near.tolist():
+                    bare[max(0, p - at) : p + RUN - at] = False
+                if cut[j]:
+                    bare[:] = False
+                if bare.all():
+                    unique.append(t)
+                    own = True
+                elif bare.any():
+                    first = s.words.bounds[block]
+                    spans = first + np.flatnonzero(bare)
+                    unique.append(" ".join(s.words.data[x:y].tobytes().decode() for x, y in zip(s.words.start[spans], s.words.end[spans])))
+                    own = own or 2 * len(spans) >= n or "1" * RUN in "".join("01"[x] for x in bare.tolist())
+            out.append("\n".join(unique if own else all_open))
+    return out
+
+
+def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[str] | None = None) -> DataFrame:
     """``pages`` (or its ``keep`` columns) with ``text``, the main text of each page."""
-    field = [T.StructField("text", T.StringType()), T.StructField("_open", T.BooleanType())]
-
-    def structural():
-        def run(column: pa.Array) -> list:
-            texts, unsettled = [], []
-            for found in _parsed(column):
-                main = main_of(found)
-                texts.append("\n".join(main or ()))
-                unsettled.append(main is None and any(k == "open" for k, _ in found))
-            return [texts, unsettled]
-
-        return run
-
-    kept = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "_open")]
-    settled = add_columns(pages, html, field, structural, list(dict.fromkeys([*kept, key, url, html])))
-    known = settled.where("not _open").withColumn("_host", F.xxhash64(host_of(url))).join(common_blocks(settled, url).withColumnRenamed("host", "_host"), "_host", "left")
-    own = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains("_common", F.xxhash64(x))), "\n")
-    most = 2 * F.char_length(own) >= F.char_length("text")
-    done = known.select(*kept, F.when(F.col("_common").isNotNull() & most, own).otherwise(F.col("text")).alias("text"))
-    # Only pages without main blocks move: they meet the starts of the host's repeated substrings.
-    starts = repeated(pages, key, url, html).groupBy("page").agg(F.sort_array(F.collect_set("at")).alias("_starts"))
-    unsettled = settled.where("_open").withColumn("page", F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))).join(starts, "page", "left")
-    types = T.StructType([f for f in settled.schema.fields if f.name in kept] + field[:1])
+    kept = [c for c in (pages.columns if keep is None else keep) if c.lower() != "text"]
+    rows = parsed(pages, kept, url, html)
+    names = [f"c{i}" for i in range(len(kept))]
+    # Few numbers a host: its repeated substrings are on more than half of its pages, so no more than twice those of a page.
+    met = rows.join(boilerplate(rows), "host", "left").select(*names, "host", "kinds", "texts", "grams")
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name in names), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
-            for page, starts in zip(batch.column(html).to_pylist(), batch.column("_starts").to_pylist()):
-                found = [(k, t) for k, t in blocks(page)]
-                covered = np.zeros(sum(len(t.split()) for _, t in found) + RUN, bool)
-                for s in starts or ():
-                    covered[s : s + RUN] = True
-                at, unique, whole, own = 0, [], [], False
-                for k, t in found:
-                    w = t.split()
-                    if k == "open":
-                        whole.append(t)
-                        bare = (~covered[at : at + len(w)]).tolist()
-                        if left := [x for x, b in zip(w, bare) if b]:
-                            unique.append(" ".join(left))
-                            own = own or 2 * len(left) >= len(w) or "1" * RUN in "".join("01"[b] for b in bare)
-                    at += len(w)
-                texts.append("\n".join(unique if own else whole))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
-
-    return done.unionByName(unsettled.select(*list(dict.fromkeys([*kept, html])), "_starts").mapInArrow(run, types))
+            for part, _ in _cut(batch, 1 << 20):
+                host = part.column("host").to_numpy()
+                made = uncovered(Streams(part.column("texts")), host, part.column("kinds").to_pylist(), part.column("texts").to_pylist(), part.column("grams"))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(made, pa.string())], [*names, "text"])
+
+    return met.mapInArrow(run, schema).toDF(*kept, "text")

@@ -78,6 +78,94 @@ def test_html_structure():
     assert op1_html.blocks("<p>a &lt;tag&gt; 1 < 2") == [("open", "a <tag> 1 < 2")]
 
 
+def test_html_implied_ends_and_names():
+    main = lambda x: op1_html.main_of(op1_html.blocks(f"<article>{x}</article>"))
+    assert main("<p class='ad'>buy<p>real text<p>more real") == ["real text", "more real"]
+    assert main("<ul><li class=share>share<li>kept item</ul>") == ["kept item"]
+    assert main("<ul><li class=share>share<ul><li>x</li></ul>more</li><li>kept</li></ul>") == ["kept"]
+    assert main("<p class=promo>ad<div>kept</div>") == ["kept"]
+    assert main("<dl><dt class=advert>x<dd>kept<dt class=ads>y</dl>z") == ["kept", "z"]
+    assert main("<table><tr><td class=sidebar>x<td>kept<tr><td>row</table>after") == ["kept", "row", "after"]
+    assert main("<table><tr class=ads><td>x<tr><td>kept</table>") == ["kept"]
+    assert main("<h2 class='search-algorithms'>Search</h2><p class='notice-board-history'>Boards</p>") == ["Search", "Boards"]
+    assert main("<p>see <a class='related'>this other</a> page</p>") == ["see this other page"]
+    assert main("<p>press <button>Go</button> now</p><p>a<span hidden>secret</span>b</p>") == ["press now", "ab"]
+    assert main("<a class='related'>more</a><p>kept</p>") == ["kept"]
+    for name in ("cookie-notice", "site-header", "adSlot2", "comment-list", "post-comments", "share_buttons", "ad", "relatedPosts", "user-comments", "main-nav"):
+        assert op1_html.names_chrome(name), name
+    for name in ("search-algorithms", "notice-board-history", "post-header", "article-header", "share-price", "advance", "related-work", "content", "comment-policy-essay", "2"):
+        assert not op1_html.names_chrome(name), name
+
+
+@pytest.mark.parametrize("alphabet", [2, 5, 40])
+def test_suffix_array(alphabet):
+    rng = np.random.default_rng(alphabet)
+    page = np.sort(rng.integers(0, 9, 400))
+    first = rng.integers(0, alphabet, 400)
+    first[page == 3] = first[: (page == 3).sum()]
+    array, common = op1_html.suffix_array(np.unique(first, return_inverse=True)[1].astype(np.int64), page)
+    ends = [int(np.searchsorted(page, page[i], side="right")) for i in range(400)]
+    tokens = [[(1, int(x)) for x in first[i : ends[i]]] + [(0, -int(page[i]))] for i in range(400)]
+    want = sorted(range(400), key=lambda i: tokens[i])
+    assert array.tolist() == want
+
+    def same(x, y):
+        return next(k for k, (p, q) in enumerate(zip(x, y)) if p != q)
+
+    assert common[1:].tolist() == [same(tokens[a], tokens[b]) for a, b in zip(want, want[1:])]
+
+
+def covers(pages):
+    """Brute force: for each host the substrings of RUN tokens, and the whole blocks, on more than half of its distinct pages."""
+    hosts = {}
+    for host, page in pages:
+        hosts.setdefault(host, set()).add(tuple(page))
+    found = {}
+    for host, distinct in hosts.items():
+        seen = Counter()
+        for page in distinct:
+            tokens = [x for b in page for x in (None, *b.split())] + ([None] if page else [])
+            seen.update({tuple(tokens[i : i + op1_html.RUN]) for i in range(len(tokens) - op1_html.RUN + 1)})
+            seen.update({("whole", b) for b in page})
+        found[host] = {g for g, n in seen.items() if 2 * n > len(distinct) and n >= (op1_html.MAIN_PAGES if g[0] == "whole" else 2)}
+    return found
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 10, 150])
+def test_html_cover_against_brute_force(spark, monkeypatch, chunk):
+    monkeypatch.setattr(op1_html, "CHUNK", chunk)
+    rng = random.Random(chunk)
+    texts = [words_of(rng, rng.randint(1, 12), 30) for _ in range(12)]
+    rows = []
+    for i in range(160):
+        host = rng.choice("aaaaaabbbcdefgh")  # one large host
+        body = [rng.choice(texts[:3] if rng.random() < 0.6 else texts) for _ in range(rng.randint(0, 6))] + [words_of(rng, rng.randint(0, 9), 9)] * rng.randint(0, 1)
+        rows.append((host, [b for b in body if b]))
+    rows += rng.choices(rows, k=60)  # copies
+    df = spark.createDataFrame([(i, f"http://{h}.example/{i}", "".join(f"<div>{b}</div>" for b in p)) for i, (h, p) in enumerate(rows)], "page_id long, url string, html string")
+    parsed = op1_html.parsed(df.repartition(5), ["page_id"], "url", "html").cache()
+    assert parsed.where("first").count() == len({(h, tuple(p)) for h, p in rows})
+    got = {r.host: set(r.grams) for r in op1_html.boilerplate(parsed).collect()}
+    named = {r.page_id: r.host for r in parsed.select(F.col("c0").alias("page_id"), "host").collect()}
+    want = covers(rows)
+    for i, (h, p) in enumerate(rows):
+        s = op1_html.Streams(pa.array([p], pa.list_(pa.string())))
+        tokens = [x for b in p for x in (None, *b.split())] + ([None] if p else [])
+        mine = got.get(named[i], set())
+        assert [g in mine for g in s.runs.tolist()] == [tuple(tokens[j : j + op1_html.RUN]) in want[h] for j in range(max(0, len(tokens) - op1_html.RUN + 1))]
+        assert [g in mine for g in s.whole.tolist()] == [("whole", b) in want[h] for b in p]
+
+
+def test_html_rows_are_told_apart(spark):
+    one, two, long = "only words of this very page stand here now", "quite other words of a second page stand here", " ".join(f"v{i}" for i in range(60_000))
+    rows = [(None, "http://a.example/", f"<div>{one}</div>"), (None, "http://b.example/", f"<div>{two}</div>"), (3, "http://a.example/", f"<div>{two}</div>"), (3, "http://a.example/", "<p>x"), (3, "http://a.example/", f"<p>{long}</p>"), (3, None, None), (3, None, "")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("old"), "host": F.lit("h"), "kinds": F.lit(1), "row": F.lit(2), "a.b": F.lit("dot")})
+    got = op1_html.extract(df.repartition(3))
+    assert got.columns == ["page_id", "url", "html", "host", "kinds", "row", "a.b", "text"]
+    assert sorted((r.page_id or 0, r.text) for r in got.select("page_id", "text").collect()) == sorted([(0, one), (0, two), (3, two), (3, "x"), (3, long), (3, ""), (3, "")])
+    assert {tuple(r) for r in got.select("host", "kinds", "row", "`a.b`").collect()} == {("h", 1, 2, "dot")}
+
+
 def test_html_repeated_runs(spark, monkeypatch):
     boiler = "this site uses words of its own on each and every page"
     pages = [(i, "http://h.example/x", f"<div>{boiler}</div><div>p{i} of w{i} v{i} u{i}</div>") for i in range(6)]
