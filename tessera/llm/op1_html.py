@@ -12,16 +12,17 @@
    that stands on more than half of the host's distinct pages: on two at least, a block on ``MAIN_PAGES``.
    (A longer substring on so many pages is the union of its runs.)
    What fewer pages share is a copy or a quote.
-3. A host whose pages fill several arrays is counted exactly: what more than half of all pages have, more than half
-   of the pages of some array have, and these candidates are counted again in all of its pages.
+3. Pages go to the arrays in ranges of (host, text).  Of a host over several arrays each of these reports what more than a
+   quarter of its pages there have, so the sums bound the number over all of them from both sides; the few
+   substrings for which the bounds leave it open are counted again in all pages of the host.
 4. A page with main blocks yields these, less those that are repeated blocks; if these are the larger part of the
    page, it is itself a copy and all stay.
    A page without main blocks yields its open blocks less the words that repeated
    substrings cover; if they leave no block half uncovered and no stretch of ``RUN``
    words, the page is itself a copy and its open blocks stay.
 
-Rows are told apart by numbers of their own, and pages are dealt by ranges of (host, text, row), so neither a host, a page that
-is copied often nor a repeated or null key gathers in one task.
+A task sends each distinct page of a host on once, so neither a large host nor a page that is copied often gathers in
+one task.  Page ids are never read: rows with null or repeated ids are pages like others.
 
 Edge cases: null or empty html gives an empty text; a page whose url has no host
 belongs to host ''; pages of equal text on one host are one page for "distinct
@@ -40,13 +41,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.kernels import _power_tables, mix, slices, words
-from tessera.llm.store import drop_path, settle, settled_at, ship
+from tessera.llm.store import settle, ship
 
 #: Tokens a repeated substring has at least (unless it is a whole block), and tokens an array is built over at most.
 RUN, CHUNK = 8, 1 << 20
@@ -324,16 +324,23 @@ class Streams:
 _SEPARATOR = np.uint64(0x5E9A7A7E5E9A7A7F)
 
 
-def repeats(s: Streams, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each run and each whole block in the suffix array of these pages (of the hosts ``host``): hash, a page, number of pages, the least that is asked for."""
+def _best(kinds: list[str]) -> list[str]:
+    """The kind of blocks that make each page's text."""
+    return ["a" if "a" in k else "m" if "m" in k else "o" for k in kinds]
+
+
+def repeats(s: Streams, host: np.ndarray, kinds: list[str]) -> tuple[np.ndarray, ...]:
+    """Of each run and each whole block in the suffix array of these pages (of the hosts ``host``): hash, a page, number of pages, the least that is asked for, whether some page's text depends on it."""
     first = np.unique(s.token ^ mix(host.view(np.uint64))[s.page], return_inverse=True)[1].astype(np.int64)
     array, common = suffix_array(first, s.page)
-    n, pages = len(first), len(host)
-    code, length, found = np.zeros(n, np.int64), np.full(n, RUN), []
-    for at, hashes, least in ((s.starts, s.runs, 2), (s.blocks, s.whole, MAIN_PAGES)):
+    n, pages, best = len(first), len(host), _best(kinds)
+    code, length, decides, found = np.zeros(n, np.int64), np.full(n, RUN), np.zeros(n, bool), []
+    by_run = np.array([b == "o" for b in best], bool)[s.page[s.starts]]
+    by_block = np.array([x == b for k, b in zip(kinds, best) for x in k], bool)
+    for at, hashes, own, least in ((s.starts, s.runs, by_run, 2), (s.blocks, s.whole, by_block, MAIN_PAGES)):
         if not len(at):
             continue
-        code[at] = hashes
+        code[at], decides[at] = hashes, own
         if least == MAIN_PAGES:
             length[at] = s.counts + 2
         chosen = np.zeros(n, bool)
@@ -345,20 +352,17 @@ def repeats(s: Streams, host: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
         new = (shared < length[some]) | (np.diff(length[some], prepend=0) != 0)
         new[0] = True
         times = np.bincount(np.unique((np.cumsum(new) - 1) * pages + s.page[some]) // pages)
-        found.append((code[some[new]], s.page[some[new]], times, np.full(len(times), least)))
-    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 4
+        matters = np.logical_or.reduceat(decides[some], np.flatnonzero(new))
+        found.append((code[some[new]], s.page[some[new]], times, np.full(len(times), least), matters))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (*(np.empty(0, np.int64),) * 4, np.empty(0, bool))
 
 
 def parsed(pages: DataFrame, keep: list[str], url: str, html: str) -> DataFrame:
-    """The pages with their blocks, dealt by host: (the kept columns as c0, c1, ...; host, content, part, nth, first, kinds, texts).
-
-    ``first`` marks one page of each host and content; nth numbers these within a part.
-    """
-    spark = pages.sparkSession
-    ship(spark)
+    """The pages with their blocks, written once: (the kept columns as c0, c1, ...; host, kinds, texts, content)."""
+    ship(pages.sparkSession)
     named = lambda c: pages[f"`{c.replace('`', '``')}`"]
     carried = [named(c).alias(f"c{i}") for i, c in enumerate(keep)]
-    source = pages.select(*carried, F.monotonically_increasing_id().alias("row"), F.xxhash64(host_of(named(url))).alias("host"), named(html).alias("html"))
+    source = pages.select(*carried, F.xxhash64(host_of(named(url))).alias("host"), named(html).alias("html"))
     inner = T.StructType([*source.schema.fields[:-1], T.StructField("kinds", T.StringType()), T.StructField("texts", T.ArrayType(T.StringType()))])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,35 +373,10 @@ def parsed(pages: DataFrame, keep: list[str], url: str, html: str) -> DataFrame:
                 cols = [*part.columns[:-1], pa.array(kinds, pa.string()), pa.array([[t for _, t in f] for f in found], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(cols, inner.names)
 
-    path, rows = settled_at(source.mapInArrow(parse, inner), "parsed")
     # The text by which pages of a host are told apart: the main blocks, or else the open ones.
     best = F.when(F.contains("kinds", F.lit("a")), "a").when(F.contains("kinds", F.lit("m")), "m").otherwise("o")
     own = F.filter("texts", lambda x, i: F.substr(F.col("kinds"), i + 1, F.lit(1)) == best)
-    rows = rows.withColumn("content", F.xxhash64("host", own)).repartitionByRange("host", "content", "row").sortWithinPartitions("host", "content", "row")
-    outer = T.StructType([*rows.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("nth", T.LongType()), T.StructField("first", T.BooleanType())])
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, last, seen = TaskContext.get().partitionId(), None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            host, content = (batch.column(c).to_numpy() for c in ("host", "content"))
-            new = np.r_[last != (host[0], content[0]), (np.diff(host) != 0) | (np.diff(content) != 0)]
-            last = (host[-1], content[-1])
-            nth = seen + np.cumsum(new) - 1
-            seen = int(nth[-1]) + 1
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(host), part, np.int32)), pa.array(nth), pa.array(new)], outer.names)
-
-    out = settle(rows.mapInArrow(mark, outer), "pages")
-    drop_path(spark, path)
-    # A group of equal pages may go on in the next parts: one row a part tells which.
-    group = F.struct("host", "content")
-    edges = sorted(out.groupBy("part").agg(F.min(group).alias("a"), F.max(group).alias("b")).collect())
-    again = [(r.part, *r.a) for before, r in zip(edges, edges[1:]) if before.b == r.a]
-    if not again:
-        return out
-    known = spark.createDataFrame(again, "part int, host long, content long").withColumn("again", F.lit(True))
-    return out.join(F.broadcast(known), ["part", "host", "content"], "left").withColumn("first", F.col("first") & F.col("again").isNull()).drop("again")
+    return settle(source.mapInArrow(parse, inner).withColumn("content", F.xxhash64("host", own)), "parsed")
 
 
 def _cut(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, int]]:
@@ -413,66 +392,93 @@ def _cut(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, int
 
 
 def boilerplate(rows: DataFrame) -> DataFrame:
-    """(host, grams): hashes of the repeated substrings of each host that has some."""
-    distinct = rows.where("first").select("host", "part", "nth", "texts")
+    """(host, grams): hashes of the repeated substrings of each host that has some on which a page's text depends."""
+    columns = ["host", "content", "kinds", "texts"]
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            keep = []
+            for x in zip(batch.column("host").to_pylist(), batch.column("content").to_pylist()):
+                keep.append(x not in seen)
+                seen.add(x)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """What more than half of a host's pages in the array have; ``all``: these are all its pages."""
+        """A row for each repeated substring; ``all``: it was counted in all pages of its host.  A row without one for each host and array of the others."""
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, last, edge = 0, None, None
 
-        def flush() -> pa.RecordBatch:
+        def flush(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size, edge
             t = pa.Table.from_batches(held).combine_chunks()
-            host, part, nth = (t.column(c).to_numpy() for c in ("host", "part", "nth"))
-            # A host is here with all its pages if they are one stretch, with pages of other hosts before and after it.
-            follows = np.r_[False, (np.diff(part) == 0) & (np.diff(nth) == 1), False]
-            begin = np.flatnonzero(np.r_[True, ~follows[1:-1] | (np.diff(host) != 0)])
+            host = t.column("host").to_numpy()
+            stop = len(host)
+            if not final and host[0] != host[-1]:  # the last host may go on: it waits
+                stop -= int((host[::-1] != host[-1]).argmax())
+            rest, t, host = t.slice(stop), t.slice(0, stop).combine_chunks(), host[:stop]
             hosts, of = np.unique(host, return_inverse=True)
-            stretches = np.bincount(of[begin])
-            inside = np.bincount(of[begin], follows[begin] & follows[np.append(begin[1:], len(host))])
-            whole = (stretches == 1) & (inside == 1)
+            whole = hosts != edge
+            if not rest.num_rows:
+                whole &= hosts != host[-1]
             total = np.bincount(of)
-            gram, page, n, least = repeats(Streams(t.column("texts").combine_chunks()), host)
-            fits = (2 * n > total[of[page]]) & (~whole[of[page]] | (n >= least))
-            gram, at, least = gram[fits], of[page][fits], least[fits]
-            return pa.RecordBatch.from_arrays([pa.array(hosts[at]), pa.array(gram), pa.array(least), pa.array(whole[at])], ["host", "gram", "least", "all"])
+            gram, page, n, least, matters = repeats(Streams(t.column("texts").combine_chunks()), host, t.column("kinds").to_pylist())
+            at = of[page]
+            fits = np.where(whole[at], matters & (2 * n > total[at]) & (n >= least), 4 * n > total[at])
+            gram, at, n, least, matters = gram[fits], at[fits], n[fits], least[fits], matters[fits]
+            names = ["host", "gram", "n", "pages", "least", "matters", "all"]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hosts[at], gram, n, total[at], least, matters, whole[at])], names)
+            some = np.flatnonzero(~whole)
+            none = pa.nulls(len(some), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(hosts[some]), none, none, pa.array(total[some]), none, pa.nulls(len(some), pa.bool_()), pa.array(whole[some])], names)
+            held = rest.to_batches() if rest.num_rows else []
+            size = int(pc.sum(pc.binary_length(pc.list_flatten(rest.column("texts")))).as_py() or 0) if rest.num_rows else 0
+            if not rest.num_rows:
+                edge = int(host[-1])
 
         for batch in batches:
-            for one, n in _cut(batch, 6 * CHUNK):
+            if not batch.num_rows:
+                continue
+            host, content = (batch.column(c).to_numpy() for c in ("host", "content"))
+            if edge is None:
+                edge = int(host[0])  # the first host may have begun in the range before
+            new = np.r_[last != (host[0], content[0]), (np.diff(host) != 0) | (np.diff(content) != 0)]
+            last = (host[-1], content[-1])
+            for one, n in _cut(batch.filter(pa.array(new)), 6 * CHUNK):
                 held.append(one)
                 size += n
                 if size >= 6 * CHUNK:
-                    yield flush()
-                    held, size = [], 0
+                    yield from flush(False)
         if held:
-            yield flush()
+            yield from flush(True)
 
-    found = settle(distinct.mapInArrow(arrays, "host long, gram long, least long, all boolean"), "repeated")
+    dealt = rows.select(*columns).mapInArrow(once, rows.select(*columns).schema).repartitionByRange("host", "content").sortWithinPartitions("host", "content")
+    found = settle(dealt.mapInArrow(arrays, "host long, gram long, n long, pages long, least long, matters boolean, all boolean"), "repeated")
     known = found.where("all").select("host", "gram")
-    # Hosts over several arrays: their candidates, each of which more than half of an array's pages have, are counted in all their pages.
-    asked = found.where("not all").select("host", "gram", "least").distinct()
-    lists = asked.groupBy("host").agg(F.collect_list("gram").alias("grams"))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals = found.where("gram is null").groupBy("host").agg(F.sum("pages").alias("total"))
+    sums = found.where("gram is not null and not all").groupBy("host", "gram").agg(F.sum("n").alias("n"), F.sum("pages").alias("pages"), F.max("least").alias("least"), F.bool_or("matters").alias("matters"))
+    # An array that does not report a substring has it on a quarter of its pages at most; there it may also matter.
+    sums = settle(sums.join(totals, "host").where("matters or pages < total"), "sums")
+    sure = sums.where("2 * n > total and n >= least").select("host", "gram")
+    doubt = sums.where("not (2 * n > total and n >= least) and 4 * n + total - pages > 2 * total and 4 * n + total - pages >= 4 * least")
+    asked = settle(doubt.groupBy("host").agg(F.collect_list("gram").alias("grams")), "asked")
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _ in _cut(batch, 1 << 20):
-                s, host = Streams(part.column("texts")), part.column("host").to_numpy()
+                s, host, content = Streams(part.column("texts")), part.column("host").to_numpy(), part.column("content").to_numpy()
                 for a, b in _groups(host):
                     wanted = part.column("grams")[a].values.to_numpy()
                     for codes, pages in ((s.runs, s.page[s.starts]), (s.whole, s.page_of_block)):
                         lo, hi = np.searchsorted(pages, (a, b))
                         hit = np.isin(codes[lo:hi], wanted)
-                        # Once a page.
-                        both = np.unique(np.stack([pages[lo:hi][hit], codes[lo:hi][hit]], axis=1), axis=0)[:, 1]
-                        gram, n = np.unique(both, return_counts=True)
-                        if len(gram):
-                            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(gram), host[a])), pa.array(gram), pa.array(n)], ["host", "gram", "n"])
+                        page, gram = pages[lo:hi][hit], codes[lo:hi][hit]
+                        yield pa.RecordBatch.from_arrays([pa.array(host[page]), pa.array(gram), pa.array(content[page])], ["host", "gram", "content"])
 
-    totals = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    counted = distinct.join(lists, "host").select("host", "texts", "grams").mapInArrow(count, "host long, gram long, n long")
-    counted = counted.groupBy("host", "gram").agg(F.sum("n").alias("n")).join(asked, ["host", "gram"]).join(totals, "host")
-    known = known.unionByName(counted.where("2 * n > total and n >= least").select("host", "gram"))
-    return settle(known.distinct().groupBy("host").agg(F.collect_list("gram").alias("grams")), "boilerplate")
+    counted = rows.select("host", "content", "texts").join(asked, "host").select("host", "content", "texts", "grams").mapInArrow(hits, "host long, gram long, content long")
+    counted = counted.groupBy("host", "gram").agg(F.count_distinct("content").alias("times")).join(doubt, ["host", "gram"])
+    every = known.unionByName(sure).unionByName(counted.where("2 * times > total and times >= least").select("host", "gram"))
+    return settle(every.distinct().groupBy("host").agg(F.collect_list("gram").alias("grams")), "boilerplate")
 
 
 def _groups(host: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -492,7 +498,7 @@ def uncovered(s: Streams, host: np.ndarray, kinds: list[str], texts: list[list[s
         lo, hi = np.searchsorted(run_pages, (a, b))
         starts = s.starts[lo:hi][np.isin(s.runs[lo:hi], known)]
         for i in range(a, b):
-            best = "a" if "a" in kinds[i] else "m" if "m" in kinds[i] else "o"
+            best = _best(kinds[i : i + 1])[0]
             cut = whole[begins[i] - begins[a] : begins[i + 1] - begins[a]]
             if best != "o":
                 chosen = [(t, c) for k, t, c in zip(kinds[i], texts[i], cut) if k == best]
@@ -537,6 +543,11 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", keep: list[s
         for batch in batches:
             for part, _ in _cut(batch, 1 << 20):
                 host = part.column("host").to_numpy()
+                if part.column("grams").null_count == part.num_rows:
+                    kinds = part.column("kinds").to_pylist()
+                    made = ["\n".join(t for k, t in zip(ks, ts) if k == best) for ks, ts, best in zip(kinds, part.column("texts").to_pylist(), _best(kinds))]
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(made, pa.string())], [*names, "text"])
+                    continue
                 made = uncovered(Streams(part.column("texts")), host, part.column("kinds").to_pylist(), part.column("texts").to_pylist(), part.column("grams"))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(names)], pa.array(made, pa.string())], [*names, "text"])
 
