@@ -435,6 +435,85 @@ def test_fingerprints(spark, odd, none):
     assert r.d == [17] and 0.9 < r.n < 1 and r.one == 1
 
 
+def plain_tree(text):
+    """The fingerprint and the set of leaves, in plain Python."""
+    node = lambda level, x: hashlib.sha256((level + x).encode()).hexdigest()[:32]
+    space = "[ \\t\\n\\x0b\\f\\r]"
+    word = space.replace("[", "[^")
+    leaf = re.compile(f"(?:{word}*{space.replace('[', '[^').replace(']', '.!?]')}{space}+){{0,15}}{word}+{space}*|{space}+")
+    lines = re.findall("[^\\n]*\\n|[^\\n]+", text or "")
+    cut = [leaf.findall(x) for x in lines]
+    assert "".join(x for c in cut for x in c) == (text or "")
+    below = [[node("l", x) for x in c] for c in cut]
+    nodes = [node("p", ",".join(b)) for b in below]
+    sections = [[]]
+    for n in nodes:
+        sections[-1].append(n)
+        if n[-1] in "08":
+            sections.append([])
+    sections = [",".join(s) for s in sections if s]
+    above = ",".join(node("s", s) for s in sections)
+    return ";".join([node("r", above), above, "/".join(sections), "/".join(",".join(b) for b in below)]), {x for b in below for x in b}
+
+
+def dice(a, b):
+    return 2 * len(a & b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def test_merkle_query_against_brute_force(spark, tmp_path):
+    from tessera.llm import queries
+
+    rng = random.Random(7)
+    texts = [None, "", "  ", "\n\n", " lead\n\ttab\r\n", "a.b! c? d", "é" * 50 + " 日本。 中", "x" * 3000, "same", "same", words_of(rng, 5000).replace("x w", "x. w", 900).replace(" ", "\n", 700)]
+    texts += ["\n".join(words_of(rng, rng.randint(0, 30)) for _ in range(rng.randint(1, 40))) for _ in range(30)]
+    docs = list(enumerate(texts))
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(5).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op6_merkle(spark, str(tmp_path)).collect()}
+    assert len(got) == len(docs)
+    for i, text in docs:
+        text, after = text or "", texts[(i + 1) % len(texts)] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        (f, own), (g, other), (_, following) = plain_tree(text), plain_tree(edited), plain_tree(after)
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(text), hashlib.sha256(edited.encode()).hexdigest(), f, g)
+        assert (r.near_edited, r.near_next) == (dice(own, other), dice(own, following))
+
+
+def test_merkle_edits(spark):
+    lines = [f"Paragraph number {i} is here." for i in range(60)]
+    other = [*lines[:20], "put in", *lines[20:]]
+    cases = {
+        "same": (lines, lines, ([], [], [])),
+        "changed": (lines, [*lines[:17], "else", *lines[18:]], ([17], [17], [])),
+        "inserted": (lines, other, ([], [20], [])),
+        "deleted": (other, lines, ([20], [], [])),
+        "reversed": (lines, lines[::-1], ([], [], list(range(60)))),
+        "swapped": (lines, [*lines[:5], lines[6], lines[5], *lines[7:]], ([], [], [5, 6])),
+        "white space": (lines, [*lines[:9], lines[9] + " ", *lines[10:]], ([9], [9], [])),
+        "blank line": (lines, [*lines[:30], "", *lines[30:]], ([], [30], [])),
+    }
+    rows = [(k, "\n".join(a) + "\n", "\n".join(b) + "\n") for k, (a, b, _) in cases.items()] + [("empty", "", "a\n"), ("repeat", "a\na\n", "a\n")]
+    pair = spark.createDataFrame(rows, "k string, a string, b string")
+    pair = op6_merkle.fingerprints(op6_merkle.fingerprints(pair, "a", "fa"), "b", "fb")
+    got = {r.k: tuple(map(list, r.e)) for r in pair.select("k", op6_merkle.edits(F.col("fa"), F.col("fb")).alias("e")).collect()}
+    assert {k: got[k] for k in cases} == {k: want for k, (_, _, want) in cases.items()}
+    assert got["empty"] == ([], [0], []) and got["repeat"][:2] == ([], []) and got["repeat"][2]
+
+
+def test_next_of_hot_and_null_keys(spark):
+    rows = [(7, f"t{i}") for i in range(900)] + [(None, f"n{i}") for i in range(300)] + [(i, f"k{i}") for i in range(100, 400)] + [(7, "equal")] * 50
+    df = spark.createDataFrame(rows, "k long, t string").repartition(6)
+    bounds = boundaries(df, "k", 16)
+    o = F.coalesce(F.col("k"), F.lit(-(1 << 63)))
+    sizes = Counter(r[0] for r in df.select(range_of(o, bounds, F.pmod(F.xxhash64("t", F.rand(1)), F.lit(1 << 30)))).collect())
+    assert max(sizes.values()) < 250 and len(sizes) > 10
+    got = op6_merkle.with_next(df, "k", "t", "next").collect()
+    assert sorted(r.t for r in got) == sorted(r.next for r in got) == sorted(t for _, t in rows)
+    of = {t: k for k, t in rows}
+    assert sum(of[r.t] != of[r.next] for r in got) == 2 + 300  # the steps from key to key, and around
+
+
 # 7 -----------------------------------------------------------------------------------------------------------------
 
 
