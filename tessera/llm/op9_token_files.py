@@ -1,27 +1,34 @@
-"""Token ids of whole texts in range-coded segments, in ascending key order.
+"""Token ids of whole texts in range-coded files, in ascending key order.
 
-Three passes: deal the documents into ascending key ranges and tokenise them (a
+An archive is a folder of two Parquet tables that can be read from its path alone:
+
+    header    one row: format version, SHA-256 of the vocabulary file and its size, the end id, the shared frequency
+              table, the numbers of documents and ids, and the number of ids before each shard
+    segments  (shard, place, n_docs, n_tokens, data): whole documents, about ``SEGMENT`` ids, in files of ascending order;
+              data holds a checksum of the frequency table, the documents' keys and lengths and independent blocks with lanes,
+              checkpoints and checksums (see ``tessera.llm.rans``)
+
+Three passes write it: deal the documents into ascending key ranges (shards) and tokenise them (a
 table of id arrays), count all ids (one shared frequency table for the corpus),
-then code the ids.  A segment row
-holds whole documents, about ``SEGMENT`` ids: their keys and lengths, and
-independent blocks with lanes, checkpoints and checksums (see
-``tessera.llm.rans``).  Segments are values of a Parquet table, written by
-Spark's committer, so a lost executor leaves no half file; ``shard`` and ``place``
-give their order.
-
-Texts are tokenised by the tokenizers library.  Where a vocabulary lower-cases and
-its pre-tokens end at white space and between letters, digits and symbols (probe
-texts tell), each distinct piece of that kind is encoded by the library once and its
-ids are reused by all tasks of a Python worker; other vocabularies encode whole texts.
+then code the ids.  Tables are written by
+Spark's committer, so a lost executor leaves no half file, and the header last.  :func:`read` gives documents,
+:func:`tokens` any stretch of ids: it decodes only the blocks that hold it, the first one from the checkpoint before it.
+
+Texts are tokenised by the tokenizers library.  Where the vocabulary file has the one normaliser and pre-tokeniser known to
+end pre-tokens at white space and between letters, digits and symbols, in lower case (:data:`CUT_SETTINGS`), each distinct
+piece of that kind is encoded by the library once and its
+ids are reused by all tasks of a Python worker; for other vocabularies whole texts are encoded.
 
 Edge cases: names of special tokens in a text are ordinary text, or with ``special`` those tokens,
 as the library has it by default (a text that has one is then encoded whole); null or empty text has the end id alone; null keys come first;
-repeated keys stay next to each other, ordered by their text; an empty table gives
+rows of one key stay next to each other, in an order of their own, and are spread over several shards if they are many; an empty table gives
 empty files.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import os
 import struct
 import zlib
@@ -30,28 +37,38 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.cache import SpanCache
 from tessera.llm.kernels import pieces, slices
-from tessera.llm.ranges import boundaries, range_of
-from tessera.llm.rans import CHECKPOINT, LANES, Coder, quantise
-from tessera.llm.store import settle, ship
+from tessera.llm.ranges import LEAST_KEY, boundaries, range_of, tie
+from tessera.llm.rans import BLOCK, CHECKPOINT, LANES, Coder, quantise
+from tessera.llm.store import drop_path, fresh_path, settled_at, ship
 
 SEGMENT = 1 << 20
 #: Pieces a worker remembers before it starts anew.
 REMEMBERED = 700_000
 _CACHES: dict[tuple[str, bool], Encoder] = {}
-_HEAD = struct.Struct("<4sHHII")
+_HEAD = struct.Struct("<4sHHIII")
+VERSION = 2
+#: Settings of vocabulary files whose texts may be cut into pieces (fixed values of the file format).
+CUT_SETTINGS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _BLOCK = struct.Struct("<IIIII")
 
 
 class Encoder:
     """Ids of texts through the tokenizers library: by cached pieces where the vocabulary allows it, else of whole texts."""
 
-    PROBES = ("It's 12,345 o'clock!", "x<|endoftext|>y ###a9'LL", "  Ünïcode»,«ß 中文,1é2 '", "a_b-c\n\n\td  (e)... f's't")
-
     def __init__(self, path: str, special: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -65,8 +82,9 @@ class Encoder:
         plain, self.encode = ids_of(True), ids_of(not special)
         self.names = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values() if t.special] if special else []
         self.cache = SpanCache(lambda spans: plain([s.decode() for s in spans]), REMEMBERED)
-        by_piece = self.cache(pieces(pa.array(self.PROBES)))[0].tolist()
-        self.cut = by_piece == [i for ids in plain(list(self.PROBES)) for i in ids]
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self.cut = all(file.get(k) == v for k, v in CUT_SETTINGS.items()) and file["model"].get("dropout") is None and all(t["special"] for t in file["added_tokens"])
 
     def __call__(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end``, and the number of ids of each text."""
@@ -93,7 +111,7 @@ def cached(path: str, special: bool) -> Encoder:
 
 
 def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int, special: bool = False) -> DataFrame:
-    """Table of (shard, seq, place, k, n_tokens, ids), ascending in k; place: ids of the shard before; ids as little-endian integers, ending with ``end``."""
+    """Rows of (shard, seq, place, k, n_tokens, ids), ascending in k; place: ids of the shard before; ids as little-endian integers, ending with ``end``."""
     from tokenizers import Tokenizer
 
     spark = docs.sparkSession
@@ -123,9 +141,12 @@ def tokenise(docs: DataFrame, path: str, key: str, text: str, end: int, special:
                 shard, seq, before = shards[-1], nth[-1] + 1, place[-1] + total[-1]
                 yield pa.RecordBatch.from_arrays([part.column("shard"), pa.array(nth), pa.array(place), part.column("k"), pa.array(total), packed], ["shard", "seq", "place", "k", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"))
-    rows = rows.withColumn("shard", range_of(F.col("k"), bounds)).repartition(n, "shard").sortWithinPartitions("shard", "k", "t")
-    return settle(rows.mapInArrow(run, "shard int, seq long, place long, k long, n_tokens long, ids binary"), "ids")
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).cast("string").alias("t"), F.monotonically_increasing_id().alias("i"))
+    rows = rows.withColumn("u", tie(F.coalesce("t", F.lit("")), F.col("i")))
+    rows = rows.withColumn("shard", range_of(F.coalesce("k", F.lit(LEAST_KEY)), bounds, F.col("u")))
+    # Neighbouring shards go to one partition, lower ones to lower partitions.
+    dealt = rows.repartitionById(n, F.least(F.floor(F.col("shard") * n / (len(bounds) + 1)), F.lit(n - 1)).cast("int")).sortWithinPartitions("shard", "k", "u", "i")
+    return dealt.select("k", "t", "shard").mapInArrow(run, "shard int, seq long, place long, k long, n_tokens long, ids binary")
 
 
 def count_ids(ids: DataFrame, vocabulary: int) -> np.ndarray:
@@ -152,19 +173,22 @@ def count_ids(ids: DataFrame, vocabulary: int) -> np.ndarray:
 
 
 def pack_segment(coder: Coder, keys: np.ndarray, nulls: np.ndarray, lengths: np.ndarray, ids: np.ndarray) -> bytes:
+    """The bytes of a segment."""
     blocks = coder.encode(ids)
-    parts = [_HEAD.pack(b"TRNS", 1, LANES, len(keys), len(blocks)), keys.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), lengths.astype("<u4").tobytes()]
+    parts = [_HEAD.pack(b"TRNS", VERSION, LANES, coder.check, len(keys), len(blocks)), keys.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), lengths.astype("<u4").tobytes()]
     for b in blocks:
         body = b["at"].astype("<u4").tobytes() + b["states"].astype("<u8").tobytes() + b["words"].astype("<u4").tobytes()
         parts += [_BLOCK.pack(b["n"], b["steps"], b["crc"], len(b["words"]), zlib.crc32(body)), body]
     return b"".join(parts)
 
 
-def unpack_segment(coder: Coder, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, their nulls, lengths and ids of a segment; ValueError if it is damaged."""
-    magic, _, lanes, n_docs, n_blocks = _HEAD.unpack_from(data)
-    if magic != b"TRNS" or lanes != LANES:
+def open_segment(coder: Coder, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[dict]]:
+    """Keys, their nulls, lengths and coded blocks of a segment; ValueError if it is damaged or of another frequency table."""
+    magic, version, lanes, check, n_docs, n_blocks = _HEAD.unpack_from(data)
+    if magic != b"TRNS" or version != VERSION or lanes != LANES:
         raise ValueError("not a token segment")
+    if check != coder.check:
+        raise ValueError("the segment is of another frequency table")
     at = _HEAD.size
     keys = np.frombuffer(data, "<i8", n_docs, at)
     nulls = np.frombuffer(data, np.uint8, n_docs, at + 8 * n_docs).astype(bool)
@@ -180,13 +204,13 @@ def unpack_segment(coder: Coder, data: bytes) -> tuple[np.ndarray, np.ndarray, n
             raise ValueError("a block's bytes are damaged")
         blocks.append({"n": n, "steps": steps, "crc": crc, "at": np.frombuffer(data, "<u4", marks, at), "states": np.frombuffer(data, "<u8", marks * LANES, at + 4 * marks).reshape(marks, LANES), "words": np.frombuffer(data, "<u4", n_words, at + marks * (4 + 8 * LANES))})
         at += size
-    ids = np.concatenate([np.empty(0, np.uint32), *coder.decode(blocks)])
-    return keys, nulls, lengths, ids
+    return keys, nulls, lengths, blocks
 
 
-def write_segments(ids: DataFrame, freq: np.ndarray) -> DataFrame:
-    """The ids as coded segments (shard, place, n_docs, n_tokens, data), in the order of ``ids``."""
-    ship(ids.sparkSession)
+def write_segments(ids: DataFrame, freq: np.ndarray, root: str) -> None:
+    """The ids as coded segments (shard, place, n_docs, n_tokens, data), in files of ascending order."""
+    spark = ids.sparkSession
+    ship(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
@@ -211,24 +235,69 @@ def write_segments(ids: DataFrame, freq: np.ndarray) -> DataFrame:
         if held:
             yield flush()
 
-    # Files are read in row order, so a task's rows are runs of consecutive documents of a shard.
-    rows = ids.select("shard", "seq", "place", "k", "n_tokens", "ids")
-    return settle(rows.mapInArrow(run, "shard int, place long, n_docs long, n_tokens long, data binary"), "segments", "uncompressed")
+    # Files are read in row order, so a task's rows are runs of consecutive documents of a shard.  The segments are small: they move
+    # once more, into files that follow each other.
+    rows = ids.select("shard", "seq", "place", "k", "n_tokens", "ids").mapInArrow(run, "shard int, place long, n_docs long, n_tokens long, data binary")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = 1 + (ids.agg(F.max("shard")).first()[0] or 0)
+    placed = rows.repartitionById(n, F.least(F.floor(F.col("shard") * n / shards), F.lit(n - 1)).cast("int")).sortWithinPartitions("shard", "place")
+    placed.write.mode("overwrite").option("compression", "uncompressed").parquet(f"{root}/segments")
+
+
+SEGMENTS = "shard int, place long, n_docs long, n_tokens long, data binary"
+HEADER = "format string, version int, vocabulary_sha256 string, vocabulary_size long, end long, freq binary, n_docs long, n_tokens long, shards array<struct<shard:int,begin:long>>"
+
+
+def write(docs: DataFrame, vocabulary: str, root: str, key: str = "doc_id", text: str = "text", end: int = 1, special: bool = False) -> str:
+    """Tokenise ``docs`` and write them to the folder ``root``, which all machines share; its path."""
+    from tokenizers import Tokenizer
+
+    spark = docs.sparkSession
+    path, ids = settled_at(tokenise(docs, vocabulary, key, text, end, special), "ids")
+    size = max(Tokenizer.from_file(vocabulary).get_vocab_size(), end + 1)
+    freq = quantise(count_ids(ids, size))
+    write_segments(ids, freq, root)
+    drop_path(spark, path)
+    # One number a shard, as many as key ranges.
+    sums = spark.read.schema(SEGMENTS).parquet(f"{root}/segments").groupBy("shard").agg(F.sum("n_tokens").alias("n"), F.sum("n_docs").alias("d")).orderBy("shard").collect()
+    shards, total = [], 0
+    for r in sums:
+        shards.append((r["shard"], total))
+        total += r["n"]
+    with open(vocabulary, "rb") as f:
+        digest = hashlib.sha256(f.read()).hexdigest()
+    header = [("TRNS", VERSION, digest, size, end, bytearray(freq.astype("<u4").tobytes()), sum(r["d"] for r in sums), total, shards)]
+    spark.createDataFrame(header, HEADER).coalesce(1).write.mode("overwrite").parquet(f"{root}/header")
+    return root
+
+
+def header(spark: SparkSession, root: str) -> dict:
+    """The header of an archive, the frequency table as an array."""
+    row = spark.read.schema(HEADER).parquet(f"{root}/header").first().asDict()
+    if (row["format"], row["version"]) != ("TRNS", VERSION):
+        raise ValueError("not a token archive of this version")
+    return row | {"freq": np.frombuffer(row["freq"], "<u4").astype(np.int64)}
+
+
+def _placed(spark: SparkSession, root: str, head: dict) -> DataFrame:
+    """(start, n_tokens, data): the segments with the number of ids before each."""
+    ship(spark)
+    segments = spark.read.schema(SEGMENTS).parquet(f"{root}/segments")
+    begins = spark.createDataFrame([tuple(s) for s in head["shards"]], "shard int, begin long")
+    return segments.join(F.broadcast(begins), "shard").select((F.col("begin") + F.col("place")).alias("start"), "n_tokens", "data")
 
 
-def read_segments(segments: DataFrame, freq: np.ndarray, with_ids: bool = False) -> DataFrame:
-    """Rows (doc_id, start, n_tokens, ids_crc32[, ids]) as the files have them."""
-    ship(segments.sparkSession)
-    # One row a shard, at most MOST_RANGES: the places where shards start.
-    shards = segments.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    begins = shards.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("begin"))
-    rows = segments.join(F.broadcast(begins), "shard").select((F.col("begin") + F.col("place")).alias("start"), "data")
+def read(spark: SparkSession, root: str, with_ids: bool = False) -> DataFrame:
+    """Rows (doc_id, start, n_tokens, ids_crc32[, ids]) as the files at ``root`` have them."""
+    head = header(spark, root)
+    freq = head["freq"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(freq)
         for batch in batches:
             for start, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                keys, nulls, lengths, ids = unpack_segment(coder, data.as_buffer().to_pybytes())
+                keys, nulls, lengths, blocks = open_segment(coder, data.as_buffer().to_pybytes())
+                ids = np.concatenate([np.empty(0, np.uint32), *coder.decode(blocks)])
                 ends = np.cumsum(lengths.astype(np.int64))
                 raw, begins_at = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), ends - lengths
                 parts = [raw[4 * a : 4 * b] for a, b in zip(begins_at.tolist(), ends.tolist())]
@@ -239,13 +308,30 @@ def read_segments(segments: DataFrame, freq: np.ndarray, with_ids: bool = False)
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return rows.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
+    return _placed(spark, root, head).select("start", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else ""))
 
 
-def write(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", end: int = 1, special: bool = False) -> tuple[DataFrame, np.ndarray]:
-    """Tokenise and write ``docs``; the segments and the shared frequency table."""
-    from tokenizers import Tokenizer
+def tokens(spark: SparkSession, root: str, first: int, last: int) -> DataFrame:
+    """(start, ids): the ids from place ``first`` up to, not with, ``last`` of the whole archive, a row a block, as little-endian 32-bit integers."""
+    head = header(spark, root)
+    freq, unit = head["freq"], CHECKPOINT * LANES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(freq)
+        for batch in batches:
+            for start, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                for k, block in enumerate(open_segment(coder, data.as_buffer().to_pybytes())[3]):
+                    begin = start + k * BLOCK
+                    a, b = max(first - begin, 0), min(last - begin, block["n"])
+                    if a < b:
+                        mark = a // unit
+                        ids = coder.decode([block], mark, b)[0][a - mark * unit : b - mark * unit]
+                        yield pa.RecordBatch.from_arrays([pa.array([begin + a]), pa.array([np.ascontiguousarray(ids, "<u4").tobytes()], pa.binary())], ["start", "ids"])
+
+    some = _placed(spark, root, head).where((F.col("start") < last) & (F.col("start") + F.col("n_tokens") > first))
+    return some.select("start", "data").mapInArrow(run, "start long, ids binary")
+
 
-    ids = tokenise(docs, path, key, text, end, special)
-    freq = quantise(count_ids(ids, Tokenizer.from_file(path).get_vocab_size()))
-    return write_segments(ids, freq), freq
+def temporary(docs: DataFrame) -> str:
+    """A folder for an archive that goes with the session."""
+    return fresh_path(docs.sparkSession, "tokens")

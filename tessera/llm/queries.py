@@ -113,8 +113,8 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tessera.llm import op9_token_files as op
 
-    segments, freq = op.write(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), special=True)
-    return op.read_segments(segments, freq)
+    docs = table(spark, sf_dir, "documents")
+    return op.read(spark, op.write(docs, public_tokenizers.path("word_bpe_49k.json"), op.temporary(docs), special=True))
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -56,6 +56,8 @@ class Coder:
         self.base = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
         self.pad = int(freq.argmax())
+        #: Tells this table from others.
+        self.check = zlib.crc32(np.ascontiguousarray(freq, "<u4"))
 
     def encode(self, ids: np.ndarray) -> list[dict]:
         """Blocks of ``ids``: n, crc32 of the ids, words, and checkpoints (place in the words, states)."""
@@ -92,8 +94,8 @@ class Coder:
             made.append({"n": len(part), "steps": steps, "crc": zlib.crc32(part), "words": words, "at": np.array([place[t] for t in sorted(kept)], np.uint32), "states": np.stack([kept[t][lanes] for t in sorted(kept)])})
         return made
 
-    def decode(self, blocks: list[dict], first: int = 0) -> list[np.ndarray]:
-        """Ids of each block from checkpoint ``first`` on; blocks of equal steps are decoded in step."""
+    def decode(self, blocks: list[dict], first: int = 0, stop: int | None = None) -> list[np.ndarray]:
+        """Ids of each block from checkpoint ``first`` on, up to id ``stop`` or somewhat beyond; blocks of equal steps are decoded in step."""
         done: list[np.ndarray] = [np.empty(0, np.uint32)] * len(blocks)
         for steps in sorted({b["steps"] for b in blocks}):
             some = [i for i, b in enumerate(blocks) if b["steps"] == steps]
@@ -101,7 +103,8 @@ class Coder:
             begin = np.cumsum([0, *(len(blocks[i]["words"]) for i in some)])[:-1]
             ptr = begin + np.array([int(blocks[i]["at"][first]) for i in some])
             state = np.concatenate([blocks[i]["states"][first] for i in some])
-            grid = np.empty((steps - first * CHECKPOINT, len(some) * LANES), np.uint32)
+            last = steps if stop is None else min(steps, -(-stop // LANES))
+            grid = np.empty((last - first * CHECKPOINT, len(some) * LANES), np.uint32)
             for t in range(len(grid)):
                 slot = state & _MASK
                 sym = self.symbol[slot]
@@ -115,6 +118,6 @@ class Coder:
             ids = grid.reshape(len(grid), len(some), LANES).transpose(1, 0, 2).reshape(len(some), -1)
             for row, i in enumerate(some):
                 done[i] = ids[row, : max(0, blocks[i]["n"] - first * CHECKPOINT * LANES)]
-                if first == 0 and zlib.crc32(np.ascontiguousarray(done[i], "<u4")) != blocks[i]["crc"]:
+                if first == 0 and last == steps and zlib.crc32(np.ascontiguousarray(done[i], "<u4")) != blocks[i]["crc"]:
                     raise ValueError("a block's checksum does not hold")
         return done

@@ -652,9 +652,9 @@ def test_token_files(spark, odd, none):
     library = Tokenizer.from_file(path)
     library.encode_special_tokens = True
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").union(odd.select(F.col("doc_id") + 1_000_000, "text"))
-    segments, freq = op9_token_files.write(docs.repartition(3), path)
+    root = op9_token_files.write(docs.repartition(3), path, op9_token_files.temporary(docs))
     got = {}
-    for r in op9_token_files.read_segments(segments, freq, with_ids=True).collect():
+    for r in op9_token_files.read(spark, root, with_ids=True).collect():
         got.setdefault(r.doc_id, []).append(r)
     start = 0
     rows = sorted(docs.collect(), key=lambda r: (-1 if r.doc_id is None else r.doc_id, r.text or ""))
@@ -664,8 +664,39 @@ def test_token_files(spark, odd, none):
         got[r.doc_id].remove(x)
         assert (x.start, x.n_tokens, x.ids_crc32, bytes(x.ids)) == (start, len(ids) // 4, zlib.crc32(ids), ids)
         start += len(ids) // 4
-    empty = op9_token_files.write(none, path)
-    assert op9_token_files.read_segments(*empty).count() == 0
+    empty = op9_token_files.write(none, path, op9_token_files.temporary(none))
+    assert op9_token_files.read(spark, empty).count() == 0
+
+
+def test_token_files_stand_alone(spark, tmp_path, monkeypatch):
+    import pyarrow.parquet as pq
+
+    rng = random.Random(12)
+    monkeypatch.setattr(op9_token_files, "SEGMENT", 40_000)
+    docs = [(i * 7 % 500 if i < 300 else 77, words_of(rng, rng.randint(0, 900))) for i in range(600)]  # one key on half of the rows
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    root = op9_token_files.write(df.repartition(5), public.path("word_bpe_49k.json"), f"file://{tmp_path}/a")
+    files = sorted((tmp_path / "a" / "segments").glob("part-*"))
+    order = [(r["shard"], r["place"]) for f in files for r in pq.read_table(f, columns=["shard", "place"]).to_pylist()]
+    assert order == sorted(order) and len({s for s, _ in order}) > 4
+    head = op9_token_files.header(spark.newSession(), root)
+    assert head["n_docs"] == len(docs) and head["vocabulary_size"] == 49_408 and head["vocabulary_sha256"] == hashlib.sha256(open(public.path("word_bpe_49k.json"), "rb").read()).hexdigest()
+    rows = sorted(op9_token_files.read(spark.newSession(), root, with_ids=True).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == sorted(k for k, _ in docs) and [r.start for r in rows] == np.cumsum([0, *(r.n_tokens for r in rows[:-1])]).tolist()
+    whole = np.concatenate([np.frombuffer(r.ids, "<u4") for r in rows])
+    assert len(whole) == head["n_tokens"] > 4 * rans.BLOCK
+    for a, b in [(0, 10), (rans.BLOCK - 5, rans.BLOCK + 70_000), (20_000, 20_001), (len(whole) - 3, len(whole)), (5, 5), (0, len(whole))]:
+        got = sorted(op9_token_files.tokens(spark, root, a, b).collect(), key=lambda r: r.start)
+        assert np.array_equal(np.concatenate([np.empty(0, "<u4"), *(np.frombuffer(r.ids, "<u4") for r in got)]), whole[a:b])
+    seen = []
+    plain = rans.Coder.decode
+    monkeypatch.setattr(rans.Coder, "decode", lambda self, blocks, first=0, stop=None: seen.append(first) or plain(self, blocks, first, stop))
+    coder = rans.Coder(head["freq"])
+    data = pq.read_table(files[0]).column("data")[0].as_py()
+    block = op9_token_files.open_segment(coder, data)[3][0]
+    assert np.array_equal(coder.decode([block], 1, 20_000)[0][:100], plain(coder, [block])[0][rans.CHECKPOINT * rans.LANES :][:100]) and seen == [1]
+    with pytest.raises(ValueError, match="frequency"):
+        op9_token_files.open_segment(rans.Coder(np.roll(head["freq"], 1)), data)
 
 
 def test_token_query_encodes_like_the_library(spark, tmp_path):
