@@ -27,9 +27,9 @@ def distinct(w: Words) -> tuple[list[bytes], np.ndarray]:
 
 
 class SpanCache:
-    """Remembers the ids that ``learn`` gives for spans of bytes."""
+    """Remembers the ids that ``learn`` gives for spans of bytes: all of them in one array, and how many each span has."""
 
-    def __init__(self, learn: Callable[[list[bytes]], list], most: int) -> None:
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], most: int) -> None:
         self.learn, self.most = learn, most
         self.clear()
 
@@ -39,15 +39,16 @@ class SpanCache:
         self.at, self.size = np.empty(1 << 19, np.int64), np.empty(1 << 19, np.int64)
 
     def _add(self, spans: list[bytes]) -> None:
-        for span, ids in zip(spans, self.learn(spans)):
-            k = len(self.place)
-            if self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.empty(len(self.ids) + len(ids), np.uint32)])
-            if k == len(self.at):
-                self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
-            self.ids[self.used : self.used + len(ids)] = ids
-            self.at[k], self.size[k], self.place[span] = self.used, len(ids), k
-            self.used += len(ids)
+        flat, size = self.learn(spans)
+        k, n = len(self.place), len(spans)
+        while self.used + len(flat) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
+        while k + n > len(self.at):
+            self.at, self.size = np.concatenate([self.at, self.at]), np.concatenate([self.size, self.size])
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.at[k : k + n], self.size[k : k + n] = self.used + np.cumsum(size) - size, size
+        self.place.update(zip(spans, range(k, k + n)))
+        self.used += len(flat)
 
     def __call__(self, w: Words, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts (each followed by ``end``, if given), and how many each text has."""

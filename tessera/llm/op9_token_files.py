@@ -81,7 +81,12 @@ class Encoder:
 
         plain, self.encode = ids_of(True), ids_of(not special)
         self.names = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values() if t.special] if special else []
-        self.cache = SpanCache(lambda spans: plain([s.decode() for s in spans]), REMEMBERED)
+
+        def learn(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+            made = plain([s.decode() for s in spans])
+            return np.array([i for ids in made for i in ids], np.uint32), np.array([len(ids) for ids in made], np.int64)
+
+        self.cache = SpanCache(learn, REMEMBERED)
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         self.cut = all(file.get(k) == v for k, v in CUT_SETTINGS.items()) and file["model"].get("dropout") is None and all(t["special"] for t in file["added_tokens"])

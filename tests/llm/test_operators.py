@@ -613,6 +613,57 @@ def test_pieces_like_the_library():
         assert search._alone(s) == search._together([s])[0]
 
 
+def test_pieces_of_any_script():
+    import time
+
+    path = public.path("piece_bpe_32k.model")
+    v = op8_pieces.load(path)
+    model, rng = library_model(path, v), random.Random(3)
+    ranges = {"cjk": (0x4E00, 0x9FA5), "cyrillic": (0x400, 0x45F), "thai": (0xE01, 0xE3A), "arabic": (0x621, 0x64A), "hangul": (0xAC00, 0xD7A3), "emoji": (0x1F300, 0x1F64F), "kana": (0x3041, 0x30FA)}
+    texts = [" " * 700, "a" * 1500, "=" * 900 + "é", ""]
+    for a, b in ranges.values():
+        texts += ["".join(chr(rng.randint(a, b)) if rng.random() < p else " " for _ in range(600)) for p in (1, 0.8)]
+    texts += ["".join(chr(rng.randint(*rng.choice([*ranges.values(), (32, 126)]))) for _ in range(300)) for _ in range(20)]
+    total = lambda x: sum(v.scores[i] for i in x)
+    ids, n = op8_pieces.SpanCache(op8_pieces.Viterbi(v), 100_000)(op8_pieces.spans(v, pa.array(texts)))
+    at, search = 0, op8_pieces.Viterbi(v)
+    for text, k in zip(texts, n):
+        mine, want = ids[at : at + k].tolist(), model.encode(text)
+        at += k
+        assert mine == want or abs(total(mine) - total(want)) < 2e-3
+        if text:
+            # Cut or not, alone or in step: one path.
+            whole = (" " + text).encode()
+            assert search._alone(whole) == search._together([whole])[0]
+            assert abs(total(search._alone(whole)) - total(mine)) < 1e-3
+
+    def seconds(text):
+        cache = op8_pieces.SpanCache(op8_pieces.Viterbi(v), 100_000)
+        began = time.perf_counter()
+        cache(op8_pieces.spans(v, pa.array([text])))
+        return (time.perf_counter() - began) / len(text.encode())
+
+    words = [words_of(rng, 1, 5000) for _ in range(20_000)]
+    plain = min(seconds(" ".join(words)) for _ in range(3))
+    assert min(seconds("".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(60_000))) for _ in range(3)) < 3 * plain
+
+
+def test_span_cache_compares_bytes():
+    w = kernels.words(pa.array(["one two one", "two three"]))
+    w.hash[:] = 7  # as if all hashes met
+    ids, n = op8_pieces.SpanCache(lambda spans: (np.array([len(s) for s in spans]), np.ones(len(spans), int)), 10)(w)
+    assert ids.tolist() == [3, 3, 3, 3, 5] and n.tolist() == [3, 2]
+
+
+def test_models_that_rewrite_texts_are_refused(tmp_path):
+    raw = open(public.path("piece_bpe_32k.model"), "rb").read()
+    assert op8_pieces._settings(raw)[3] and not op8_pieces._settings(raw)[4]
+    at = raw.rindex(b"\x20\x00")  # field 4 of the normaliser's settings: fewer spaces
+    (tmp_path / "m").write_bytes(raw[:at] + b"\x20\x01" + raw[at + 2 :])
+    with pytest.raises(ValueError):
+        op8_pieces.load(str(tmp_path / "m"))
+
+
 def test_pieces_round_trip(spark, odd, none):
     v = op8_pieces.load(public.path("piece_bpe_32k.model"))
     got = op8_pieces.decode(op8_pieces.encode(odd, v), v).collect()
