@@ -41,6 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -393,21 +394,25 @@ def _cut(batch: pa.RecordBatch, most: int) -> Iterator[tuple[pa.RecordBatch, int
 
 def boilerplate(rows: DataFrame) -> DataFrame:
     """(host, grams): hashes of the repeated substrings of each host that has some on which a page's text depends."""
-    columns = ["host", "content", "kinds", "texts"]
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The distinct pages of a task, their texts packed for the way."""
         seen: set[tuple[int, int]] = set()
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             keep = []
             for x in zip(batch.column("host").to_pylist(), batch.column("content").to_pylist()):
                 keep.append(x not in seen)
                 seen.add(x)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            rows = batch.filter(pa.array(keep, pa.bool_()))
+            packed = pa.array([pack("\n".join(t).encode()) for t in rows.column("texts").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("host", "content", "kinds")), packed], ["host", "content", "kinds", "packed"])
 
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each repeated substring; ``all``: it was counted in all pages of its host.  A row without one for each host and array of the others."""
         held: list[pa.RecordBatch] = []
         size, last, edge = 0, None, None
+        unpack = zstandard.ZstdDecompressor().decompress
 
         def flush(final: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, size, edge
@@ -444,7 +449,10 @@ def boilerplate(rows: DataFrame) -> DataFrame:
                 edge = int(host[0])  # the first host may have begun in the range before
             new = np.r_[last != (host[0], content[0]), (np.diff(host) != 0) | (np.diff(content) != 0)]
             last = (host[-1], content[-1])
-            for one, n in _cut(batch.filter(pa.array(new)), 6 * CHUNK):
+            rows = batch.filter(pa.array(new))
+            texts = [unpack(x).decode().split("\n") if k else [] for x, k in zip(rows.column("packed").to_pylist(), rows.column("kinds").to_pylist())]
+            rows = pa.RecordBatch.from_arrays([rows.column("host"), rows.column("kinds"), pa.array(texts, pa.list_(pa.string()))], ["host", "kinds", "texts"])
+            for one, n in _cut(rows, 6 * CHUNK):
                 held.append(one)
                 size += n
                 if size >= 6 * CHUNK:
@@ -452,7 +460,7 @@ def boilerplate(rows: DataFrame) -> DataFrame:
         if held:
             yield from flush(True)
 
-    dealt = rows.select(*columns).mapInArrow(once, rows.select(*columns).schema).repartitionByRange("host", "content").sortWithinPartitions("host", "content")
+    dealt = rows.select("host", "content", "kinds", "texts").mapInArrow(once, "host long, content long, kinds string, packed binary").repartitionByRange("host", "content").sortWithinPartitions("host", "content")
     found = settle(dealt.mapInArrow(arrays, "host long, gram long, n long, pages long, least long, matters boolean, all boolean"), "repeated")
     known = found.where("all").select("host", "gram")
     totals = found.where("gram is null").groupBy("host").agg(F.sum("pages").alias("total"))
