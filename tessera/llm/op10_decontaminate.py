@@ -1,25 +1,23 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
 Words are lower-case runs of letters and digits (of ASCII; every other code point
-counts as a letter).  A seed is an n-gram of ``SEED`` words of a test item that
-is rare: its expected count in the corpus, from the counts of its words over all
-documents, is at most ``EXPECTED`` a million words.  (Expected rather than counted, so that
-a passage copied into thousands of documents keeps its seeds.)  Besides, an item is
-tiled with n-grams of SEED and two words, the rarest such tiling, that overlap in
-one word at most.  An unlike word or gap breaks at most as many tiles as it costs
+counts as a letter).  The n-grams of two and of SEED words of every test item are counted in all documents, exactly.
+An item is tiled with n-grams that overlap in one word at most, the tiling whose n-grams are rarest together, and these are
+its seeds.  An unlike word or gap breaks at most as many tiles as it costs
 in score, and there are more tiles than THRESHOLD leaves to lose, so that every
-alignment of THRESHOLD holds a seed, however frequent the item's words are.
+alignment of THRESHOLD holds a seed, however frequent the item's words are, and also where copies of the item fill the corpus.
 
 Seeds are looked up in every document at every word.  Hits of one item on
 neighbouring diagonals make a window, and if it has enough of the item's words, the item is
 aligned locally with it: 1 for an equal word, -1 for an unequal one or a gap.  The score is the best alignment
-over the item's words; documents with a score of ``THRESHOLD`` or more leak the item.
+over the item's words; documents with a score of ``THRESHOLD`` or more leak the item, if the alignment is worth ``LEAST_WORDS`` words at
+least: fewer are no evidence, so shorter items are left out.
 
-Test items are sent to the workers in blocks of at most ``BLOCK_WORDS`` words; a larger
-benchmark takes one pass over the documents a block.
+Test items are sent to the workers in blocks of at most ``BLOCK_WORDS`` words (some 150 MB); a larger
+benchmark takes two passes over the documents a block.
 
-Edge cases: null and empty texts hold nothing; items that are null or have no
-words are left out; an item of fewer than SEED words is its own seed; of equal best
+Edge cases: null and empty texts hold nothing; items that are null, or have no id or fewer than LEAST_WORDS
+words are left out; items that repeat are items of their own; of equal best
 windows the first counts; rows with null or repeated keys are scored like others; an empty table or
 benchmark gives an empty result.  Extra columns are not read.
 """
@@ -38,10 +36,9 @@ from tessera.llm.arrowmap import add_columns
 from tessera.llm.kernels import Words, mix, slices, words
 from tessera.llm.store import settle, ship, unused
 
-SEED, EXPECTED, THRESHOLD = 3, 0.05, 0.5
-BLOCK_WORDS = 1 << 20
+SEED, THRESHOLD, LEAST_WORDS = 3, 0.5, 5
+BLOCK_WORDS = 1 << 22
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_BITS = 20
 
 
 def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -51,6 +48,23 @@ def _grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(code)
 
 
+class Table:
+    """Places of codes in a sorted table; most codes that are not there are told by a bitmap."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        self.codes = codes
+        self.mask = np.uint64((1 << max(16, (16 * len(codes)).bit_length())) - 1)
+        self.maybe = np.zeros(int(self.mask) + 1, bool)
+        self.maybe[(codes & self.mask).astype(np.int64)] = True
+
+    def grams(self, w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words at which an n-gram stands that may be in the table, and their codes."""
+        code = _grams(w.hash, n) ^ np.uint64(n)
+        at = np.flatnonzero(self.maybe[(code & self.mask).astype(np.int64)])
+        at = at[w.doc[at] == w.doc[at + n - 1]]
+        return at, code[at]
+
+
 def tiling(three: np.ndarray, two: np.ndarray, most: int) -> tuple[list[int], list[int]]:
     """Places of the three- and two-word tiles of least total rate that cover all steps between words, with ``most`` tiles of two."""
     steps = len(two)
@@ -69,43 +83,40 @@ def tiling(three: np.ndarray, two: np.ndarray, most: int) -> tuple[list[int], li
 
 
 class Items:
-    """A block of test items: ids, word hashes, and, once ``rare`` has run, their seeds."""
+    """A block of test items: ids, word hashes, and, once ``choose`` has run, their seeds."""
 
     def __init__(self, ids: list[int], texts: list[str]) -> None:
         w = words(pa.array(texts, pa.string()), punctuation=True)
-        self.hash, self.bounds, self.ids = w.hash, w.bounds, np.array(ids, np.int64)
-        self.vocabulary = np.unique(w.hash)
-
-    def rare(self, counts: np.ndarray, total: int) -> None:
-        """Pick the seeds, given how often each word of the vocabulary occurs among ``total`` words."""
-        rate = np.log(np.maximum(counts, 1) / max(1, total))
-        word = rate[np.searchsorted(self.vocabulary, self.hash)]
+        long = np.diff(w.bounds) >= LEAST_WORDS
+        self.hash, self.ids = w.hash[long[w.doc]], np.array(ids, np.int64)[long]
+        self.bounds = np.concatenate([[0], np.cumsum(np.diff(w.bounds)[long])])
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the n-grams of all items, and whether each lies in one item."""
+        item = np.repeat(np.arange(len(self.ids)), np.diff(self.bounds))
+        return _grams(self.hash, n) ^ np.uint64(n), item[: len(item) - n + 1] == item[n - 1 :]
+
+    def vocabulary(self) -> np.ndarray:
+        """The codes that are to be counted, sorted."""
+        return np.unique(np.concatenate([code[inside] for code, inside in (self.grams(2), self.grams(SEED))]))
+
+    def choose(self, counts: np.ndarray) -> None:
+        """Pick the seeds, given how often each code of the vocabulary occurs."""
+        vocabulary = self.vocabulary()
+        code = {n: self.grams(n)[0] for n in (2, SEED)}
+        often = {n: counts[np.minimum(np.searchsorted(vocabulary, c), len(vocabulary) - 1)].astype(float) for n, c in code.items()}
         codes, items, places = [], [], []
         for i, (a, b) in enumerate(zip(self.bounds, self.bounds[1:])):
-            n = min(SEED, b - a)
-            if n == 0:
-                continue
-            rates = {k: sum(word[a + j : b - k + 1 + j] for j in range(k)) for k in {n, min(n, 2)}}
-            keep = {k: np.zeros(len(r), bool) for k, r in rates.items()}
-            keep[n] |= rates[n] + np.log(1e6) <= np.log(EXPECTED)
-            if n < SEED:
-                keep[n][:] = True
-            else:
-                least = int((b - a) * (1 - THRESHOLD)) + 1  # tiles, of b - a - 1 steps
-                keep[3][(of := tiling(np.exp(rates[3]), np.exp(rates[2]), 2 * least - (b - a - 1)))[0]] = True
-                keep[2][of[1]] = True
-            for k, some in keep.items():
-                codes.append((_grams(self.hash[a:b], k) ^ np.uint64(k))[some])
-                places.append(np.flatnonzero(some))
-                items.append(np.full(some.sum(), i))
-        join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        codes, items, places = join(codes, np.uint64), join(items, np.int64), join(places, np.int64)
+            least = int((b - a) * (1 - THRESHOLD)) + 1  # tiles, of b - a - 1 steps
+            three, two = tiling(often[SEED][a : b - SEED + 1], often[2][a : b - 1], 2 * least - (b - a - 1))
+            for n, at in ((SEED, three), (2, two)):
+                codes.append(code[n][a + np.array(at, np.int64)])
+                places.append(np.array(at, np.int64))
+                items.append(np.full(len(at), i))
+        codes, items, places = (np.concatenate(x) for x in (codes, items, places))
         order = np.argsort(codes, kind="stable")
-        self.codes, self.items, self.places = codes[order], items[order], places[order]
-        sizes = np.diff(self.bounds)
-        self.lengths = sorted({k for n in sizes if n for k in (min(SEED, int(n)), min(2, int(n)))})
-        self.maybe = np.zeros(1 << _BITS, bool)
-        self.maybe[(codes & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
+        self.items, self.places = items[order], places[order]
+        self.table = Table(codes[order])
 
 
 def align(item: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -137,15 +148,13 @@ class Matcher:
         """Word, item and place in the item of every seed hit."""
         t = self.items
         found = []
-        for n in t.lengths:
-            code = _grams(w.hash, n) ^ np.uint64(n)
-            at = np.flatnonzero(t.maybe[(code & np.uint64((1 << _BITS) - 1)).astype(np.int64)])
-            at = at[w.doc[at] == w.doc[at + n - 1]]
-            a, b = np.searchsorted(t.codes, code[at], "left"), np.searchsorted(t.codes, code[at], "right")
+        for n in (2, SEED):
+            at, code = t.table.grams(w, n)
+            a, b = np.searchsorted(t.table.codes, code, "left"), np.searchsorted(t.table.codes, code, "right")
             at, a, k = at[b > a], a[b > a], (b - a)[b > a]
             seed = np.repeat(a - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
             found.append((np.repeat(at, k), t.items[seed], t.places[seed]))
-        return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        return tuple(np.concatenate(c) for c in zip(*found))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, ...]:
         """Text, item, score, first and last word (counted in the text) of the best window of each text and item hit."""
@@ -177,7 +186,7 @@ class Matcher:
             x, y = self._rows(t.hash, t.bounds[item[some]], t.bounds[item[some] + 1]), self._rows(w.hash, a[some], b[some])
             # An alignment of THRESHOLD has at least that share of the item's words.
             shared = sum(((y == c[:, None]) & (c[:, None] != 0)).any(axis=1).astype(np.int64) for c in x.T)
-            enough = shared >= THRESHOLD * length[some]
+            enough = shared >= np.maximum(THRESHOLD * length[some], LEAST_WORDS)
             if not enough.any():
                 continue
             some, x, y = some[enough], x[enough], y[enough]
@@ -190,7 +199,7 @@ class Matcher:
             for r, n in enumerate(length[some]):
                 turned[r, :n] = x[r, :n][::-1]
             reach = align(turned, flip)[1] if flip.shape[1] else np.zeros(len(some), np.int64)
-            score[some] = best / length[some]
+            score[some] = np.where(best >= LEAST_WORDS, best / length[some], 0)
             last[some] = a[some] + end - 1 - text[doc[some]]
             first[some] = a[some] + end - reach - text[doc[some]]
         order = np.lexsort((first, -score, item, doc))
@@ -226,35 +235,32 @@ def blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Items]:
         yield Items(ids, texts)
 
 
-def word_counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> tuple[np.ndarray, int]:
-    """How often each word of the (sorted) vocabulary occurs in all documents, and their number of words."""
+def gram_counts(docs: DataFrame, text: str, vocabulary: np.ndarray) -> np.ndarray:
+    """How often each code of the (sorted) vocabulary occurs in all documents."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = np.zeros(1 << _BITS, bool)
-        maybe[(vocabulary & np.uint64((1 << _BITS) - 1)).astype(np.int64)] = True
-        seen, total = np.zeros(len(vocabulary), np.int64), 0
+        table, seen = Table(vocabulary), np.zeros(len(vocabulary), np.int64)
         for batch in batches:
             for part in slices(batch, "t"):
-                h = words(part.column("t"), punctuation=True).hash
-                total += len(h)
-                h = h[maybe[(h & np.uint64((1 << _BITS) - 1)).astype(np.int64)]]
-                at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-                seen += np.bincount(at[vocabulary[at] == h], minlength=len(vocabulary))
+                w = words(part.column("t"), punctuation=True)
+                for n in (2, SEED):
+                    code = table.grams(w, n)[1]
+                    at = np.minimum(np.searchsorted(vocabulary, code), len(vocabulary) - 1)
+                    seen += np.bincount(at[vocabulary[at] == code], minlength=len(vocabulary))
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(seen[some], total))], ["w", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["w", "n"])
 
     rows = docs.select(F.col(text).alias("t")).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")).toArrow()
-    w, n = rows.column("w").to_numpy(), rows.column("n").to_numpy()
     counts = np.zeros(len(vocabulary), np.int64)
-    counts[w[w >= 0]] = n[w >= 0]
-    return counts, int(n[w < 0].sum())
+    counts[rows.column("w").to_numpy()] = rows.column("n").to_numpy()
+    return counts
 
 
 def prepared(docs: DataFrame, benchmark: DataFrame, text: str, item: str, item_text: str) -> Iterator[Items]:
     for block in blocks(benchmark, item, item_text):
-        if len(block.vocabulary):
-            block.rare(*word_counts(docs, text, block.vocabulary))
+        if len(block.ids):
+            block.choose(gram_counts(docs, text, block.vocabulary()))
             yield block
 
 

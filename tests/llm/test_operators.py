@@ -835,6 +835,30 @@ def test_leaks_of_frequent_words(spark):
     assert got == {k: s for k, s in exact.items() if s >= op10_decontaminate.THRESHOLD} and len(got) >= 29
 
 
+def test_leaks_against_all_pairs(spark):
+    rng = random.Random(21)
+    items = [(i, words_of(rng, rng.choice([1, 2, 4, 5, 6, 9, 20, 60]), 300)) for i in range(40)] + [(40, "the"), (41, None), (None, words_of(rng, 30, 300)), (5, words_of(rng, 12, 300))]
+    rows = []
+    for i in range(150):
+        body = words_of(rng, rng.randint(0, 60), 300).split()
+        for _ in range(rng.randint(0, 3)):  # edited copies, of which about half stay above the threshold
+            part = [x for w in (rng.choice(items)[1] or "").split() for x in (w, "put")[: 1 + (rng.random() < 0.12)] if rng.random() > 0.12]
+            body[rng.randint(0, len(body)) :] = ["new" if rng.random() < 0.1 else x for x in part] + body[:9]
+        rows.append((i % 140 if i else None, " ".join(body)))
+    rows += [(200 + i, rows[3][1]) for i in range(5)] + [(300, None), (301, "the " * 50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.item_id, round(r.score, 6)) for r in op10_decontaminate.leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect())
+    codes = {}
+    coded = lambda text: [codes.setdefault(x, len(codes) + 1) for x in (text or "").lower().split()]
+    want = Counter()
+    for k, text in rows:
+        for i, item in items:
+            x = coded(item)
+            if i is not None and len(x) >= 5 and (best := plain_alignment(x, coded(text))) >= max(5, len(x) / 2):
+                want[k, i, round(best / len(x), 6)] += 1
+    assert got == want and 30 < sum(want.values())
+
+
 # pipeline and contract ---------------------------------------------------------------------------------------------
 
 
