@@ -410,6 +410,44 @@ def test_store(spark, odd, none, tmp_path):
         store._commit(after - 1, odd.schema, [])
 
 
+def test_store_keeps_every_column(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(op4_compaction, "PART_SHARDS", 3)
+    store = op4_compaction.ShardStore(spark, f"file://{tmp_path}/s")
+    store.append(spark.createDataFrame([(1, "a"), (None, None)], "doc_id long, text string"), rows=1)
+    store.append(spark.createDataFrame([(2, "b", 7.5), (2, "b", 7.5)], "doc_id long, text string, extra double"), rows=1)
+    store.append(spark.createDataFrame([("c", "p")], "text string, path string"))
+    store.append(spark.createDataFrame([(9,)] * 4, "doc_id long").repartition(4), rows=1)
+    want = sorted(map(str, [(1, "a", None, None), (None, None, None, None), (2, "b", 7.5, None), (2, "b", 7.5, None), (None, "c", None, "p"), *[(9, None, None, None)] * 4]))
+    shown = lambda v=None: sorted(str(tuple(r)) for r in store.read(v).select("doc_id", "text", "extra", "path").collect())
+    assert shown() == want and store.read().columns == ["doc_id", "text", "extra", "path"]
+    before = store.manifest()[0]
+    assert len(store._head(before)["parts"]) > 2 and store._head(before)["parts"][: len(store._head(1)["parts"])] == store._head(1)["parts"]
+    with pytest.raises(ValueError, match="doc_id"):
+        store.append(spark.createDataFrame([("x",)], "doc_id string"))
+    assert store.compact() == before + 1 and shown() == want == shown(before)
+    # A writer that failed leaves files that no manifest lists.
+    spark.range(5).write.parquet(f"file://{tmp_path}/s/data/stray")
+    store._put("_stray", "x")
+    store.vacuum()
+    assert (tmp_path / "s/data/stray").exists() and shown() == want
+    store.vacuum(grace=-5)
+    assert not (tmp_path / "s/data/stray").exists() and not (tmp_path / "s/manifest/_stray").exists() and shown() == want
+    listed = {s.path.removeprefix("file:") for s in store.manifest()[2]}
+    assert {str(p) for p in (tmp_path / "s/data").rglob("part-*")} == listed
+
+
+def test_compaction_query_rows(spark, tmp_path):
+    from tessera.llm import queries
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs.repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op4_compaction(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_chars) for r in rows) == sorted((d.doc_id, d.n_chars) for d in docs.collect())
+    held = Counter(r.shard_id for r in rows)
+    assert all(held[r.shard_id] == r.shard_rows and 0 < r.shard_bytes <= 1.25 * op4_compaction.TARGET_BYTES and r.version == 3 for r in rows)
+    assert len(held) < 4
+
+
 # 6 -----------------------------------------------------------------------------------------------------------------
 
 
