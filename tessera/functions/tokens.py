@@ -11,6 +11,8 @@ from tessera.config import NUMBER_DIGITS
 TOKEN = r"(?U)[^\s|]+|\s|\|"
 WORD = r"[\p{L}\p{N}]+"
 HOLE = "<>"
+#: A whole token that varies: with a digit, a slash or a drive, and with an ASCII letter or digit.
+VARIABLE = r"(?U)(?<![^\s|])(?=[^\s|]*[A-Za-z0-9])[^\s|]*?(?:[/\d]|[a-zA-Z]:\\)[^\s|]*"
 
 
 def tokens(line: Column) -> Column:
@@ -30,39 +32,61 @@ def is_numeric(tok: Column) -> Column:
     return tok.rlike(r"^[0-9]+$")
 
 
-def token_class(tok: Column) -> Column:
-    """'lit', 'num' (up to 15 digits), 'str' (dictionary string) or 'comp' (letters or digits mixed with others).
+def is_variable(tok: Column) -> Column:
+    return tok.rlike(VARIABLE)
+
+
+def is_short_number(tok: Column) -> Column:
+    return tok.rlike(f"^[0-9]{{1,{NUMBER_DIGITS}}}$")
+
 
-    A mixed token that has the hole's characters itself is a dictionary string: its skeleton would be ambiguous.
+def is_string(tok: Column) -> Column:
+    """Whether a token that varies and is no number is kept as a dictionary string.
+
+    A mixed token that has the hole's characters itself is one: its skeleton would be ambiguous.
     """
-    return (
-        F.when(~(is_path(tok) | has_digit(tok)), F.lit("lit"))
-        .when(is_numeric(tok) & (F.length(tok) <= NUMBER_DIGITS), F.lit("num"))
-        .when(tok.rlike(r"^[A-Za-z0-9]+$"), F.lit("str"))
-        .when(tok.rlike(r"[A-Za-z0-9]") & ~F.contains(tok, F.lit(HOLE)), F.lit("comp"))
-        .when(tok.rlike(r"[A-Za-z0-9]"), F.lit("str"))
-        .otherwise(F.lit("lit"))
-    )
+    return tok.rlike(r"^[A-Za-z0-9]+$") | F.contains(tok, F.lit(HOLE))
+
+
+def variable_class(tok: Column) -> Column:
+    """'num' (up to 15 digits), 'str' (dictionary string) or 'comp' (letters or digits mixed with others)."""
+    return F.when(is_short_number(tok), F.lit("num")).when(is_string(tok), F.lit("str")).otherwise(F.lit("comp"))
 
 
-def placeholder(cls: Column, tok: Column) -> Column:
+def token_class(tok: Column) -> Column:
+    """'lit', or the class of a token that varies.  One pattern tells most tokens, the literals."""
+    return F.when(~is_variable(tok), F.lit("lit")).otherwise(variable_class(tok))
+
+
+def placeholder(tok: Column) -> Column:
     """The token as a template shows it: literals as they are, numbers by length, strings and composites by a mark."""
-    return F.when(cls == "lit", tok).when(cls == "num", F.concat(F.lit("<"), F.char(F.length(tok) + 96), F.lit(">"))).when(cls == "str", F.lit("<*>")).otherwise(F.lit("<->"))
+    number = F.concat(F.lit("<"), F.char(F.length(tok) + 96), F.lit(">"))
+    return F.when(~is_variable(tok), tok).when(is_short_number(tok), number).when(is_string(tok), F.lit("<*>")).otherwise(F.lit("<->"))
 
 
 def template(toks: Column) -> Column:
-    return F.array_join(F.transform(toks, lambda t: placeholder(token_class(t), t)), "")
+    return F.array_join(F.transform(toks, placeholder), "")
 
 
 def variables(toks: Column) -> Column:
     """Array of (pos, cls, tok) of the tokens that are no literals."""
-    marked = F.transform(toks, lambda t, i: F.struct(i.alias("pos"), token_class(t).alias("cls"), t.alias("tok")))
-    return F.filter(marked, lambda s: s["cls"] != "lit")
+    placed = F.filter(F.transform(toks, lambda t, i: F.struct(i.alias("pos"), t.alias("tok"))), lambda s: is_variable(s["tok"]))
+    return F.transform(placed, lambda s: F.struct(s["pos"].alias("pos"), variable_class(s["tok"]).alias("cls"), s["tok"].alias("tok")))
+
+
+def line_variables(line: Column) -> Column:
+    """The tokens of a whole line that are no literals, found in one pass over it."""
+    return F.regexp_extract_all(line, F.lit(VARIABLE), F.lit(0))
+
+
+def line_literals(line: Column) -> Column:
+    """What stands between them: one more piece than there are variables."""
+    return F.split(line, VARIABLE, -1)
 
 
 def shape(toks: Column) -> Column:
-    """Array of (cls, text): the template out of band, with text only for literals and the length for numbers."""
-    return F.transform(toks, lambda t: F.struct(token_class(t).alias("cls"), F.when(token_class(t) == "lit", t).alias("text")))
+    """Array of (cls, text): the template out of band, with text only for literals."""
+    return F.transform(toks, lambda t: F.struct(token_class(t).alias("cls"), F.when(~is_variable(t), t).alias("text")))
 
 
 def skeleton(tok: Column) -> Column:

@@ -73,12 +73,10 @@ def token_codes(rules: DataFrame, columns: DataFrame, ids: DataFrame) -> DataFra
     return joined.select("chunk_id", "tok", "pattern", "col", "v", F.coalesce(F.col("number") * 2, F.col("id") * 2 + 1).alias("code"))
 
 
-def matrix_codes(inst: DataFrame, columns: DataFrame, ids: DataFrame) -> DataFrame:
-    """(chunk_id, pattern, col, inst_no, code): the matrices, one row a cell."""
-    cells = inst.select("chunk_id", "pattern", "inst_no", F.posexplode("vals").alias("col", "v"))
-    cells = cells.join(columns, ["chunk_id", "pattern", "col"]).withColumn("number", F.when(numeric_column() | plain_number(F.col("v")), F.expr("try_cast(v as bigint)")))
-    joined = cells.join(ids.select("chunk_id", F.col("token").alias("v"), "id"), ["chunk_id", "v"], "left")
-    return joined.select("chunk_id", "pattern", "col", "inst_no", F.coalesce(F.col("number") * 2, F.col("id") * 2 + 1).alias("code"))
+def matrix_codes(inst: DataFrame, rules: DataFrame, columns: DataFrame, ids: DataFrame) -> DataFrame:
+    """(chunk_id, pattern, col, inst_no, code): the matrices, one row a cell; codes are worked out once for each distinct token."""
+    codes = token_codes(rules, columns, ids).select("chunk_id", "tok", "col", "code")
+    return inst.select("chunk_id", "tok", "pattern", "inst_no").join(codes, ["chunk_id", "tok"]).select("chunk_id", "pattern", "col", "inst_no", "code")
 
 
 def deltas(rows: DataFrame, keys: list[str], order: list[str], value: str = "value") -> DataFrame:

@@ -79,9 +79,9 @@ def token_rules(tokens: DataFrame, fills: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "tok", "skeleton", "split_value", "mode", "n", "first_row", "first_pos", lits.alias("lits"), "fill", t.fill(lits, F.col("fill")).alias("pattern"), left.alias("vals"))
 
 
-def mined(distinct: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Rules for all distinct composite tokens; see :func:`token_rules`."""
-    values = profile.slot_values(distinct)
+def mined(distinct: DataFrame, settings: Settings = Settings(), values: DataFrame | None = None) -> DataFrame:
+    """Rules for all distinct composite tokens; see :func:`token_rules`.  ``values``: their slot values, where these are at hand."""
+    values = profile.slot_values(distinct) if values is None else values
     tokens = assigned(distinct, split_plan(values, settings))
     return token_rules(tokens, group_fills(tokens, values))
 
@@ -101,9 +101,9 @@ def pattern_columns(rules: DataFrame) -> DataFrame:
 
 
 def pattern_rows(variables: DataFrame, rules: DataFrame) -> DataFrame:
-    """(chunk_id, row_no, pos, pattern, vals) of every composite occurrence whose pattern has open columns."""
+    """(chunk_id, row_no, pos, tok, pattern, vals) of every composite occurrence whose pattern has open columns."""
     open_rules = rules.where(F.size("vals") > 0).select("chunk_id", "tok", "pattern", "vals")
-    return variables.where("cls = 'comp'").join(open_rules, ["chunk_id", "tok"]).select("chunk_id", "row_no", "pos", "pattern", "vals")
+    return variables.where("cls = 'comp'").join(open_rules, ["chunk_id", "tok"]).select("chunk_id", "row_no", "pos", "tok", "pattern", "vals")
 
 
 def plain_number(v: Column) -> Column:

@@ -89,6 +89,16 @@ OD AS (SELECT chunk_id, pattern AS token, 1 AS block, rank, 0 AS col, 0 AS f FRO
 DI AS (SELECT chunk_id, token, row_number() OVER (PARTITION BY chunk_id ORDER BY o, encode(token)) - 1 AS id FROM (
   SELECT chunk_id, token, min(struct_pack(a := block, b := rank, c := col, d := f)) AS o FROM OD GROUP BY 1, 2))"""
 
+MATRIX = """SELECT chunk_id, pattern, col, inst_no, coalesce(CASE WHEN (is_num AND (fixed_len BETWEEN 1 AND 18 OR NOT lead0_or_big)) OR (regexp_matches(v, '^[0-9]+$') AND length(v) <= 15 AND (length(v) = 1 OR v[1] <> '0'))
+    THEN try_cast(v AS BIGINT) * 2 END, id * 2 + 1) AS code FROM (SELECT chunk_id, pattern, inst_no, unnest(vals) AS v, CAST(generate_subscripts(vals, 1) - 1 AS INTEGER) AS col FROM I)
+    JOIN PC USING (chunk_id, pattern, col) LEFT JOIN DI ON DI.chunk_id = PC.chunk_id AND DI.token = v"""
+ITEMS = """L AS (
+  SELECT CAST((l_orderkey * 10 + l_linenumber) // 200000 AS INTEGER) AS chunk_id, l_orderkey * 10 + l_linenumber AS row_no,
+    'item ' || l_orderkey || ':' || l_linenumber || ':' || l_returnflag || ':' || l_linestatus || ':' || strftime(l_shipdate, '%Y:%m:%d') || ':' || CAST(floor(l_quantity) AS BIGINT)
+    || ':' || (l_orderkey % 2) || ':' || (l_orderkey % 3) || ':' || (l_orderkey % 5) || ':' || (l_orderkey % 7) || ':' || (l_orderkey % 11)
+    || ':' || l_partkey || ':' || l_suppkey || ':' || lpad(CAST(l_orderkey AS VARCHAR), 20, '0') || ':end1 q=' || (l_partkey % 45) || '/s' || (l_suppkey % 50)
+    || ' m=' || CASE WHEN l_orderkey % 100 < 70 THEN 'a1' ELSE 'b' || (l_orderkey % 100) END || ':w' || (l_orderkey % 11) AS line FROM lineitem)"""
+
 _BASE = (TOKENS, EXPLODED)
 _MINED = (*_BASE, SLOTS, PLAN)
 
@@ -118,7 +128,7 @@ def oracle_sql() -> dict[str, str]:
         "template_table": _sql(DOCUMENTS.replace("FROM documents))", "FROM documents) WHERE line <> '')"), (*_BASE, TEMPLATES), "SELECT chunk_id, template_id, template, lines FROM TI"),
         "line_templates": _sql(ev, (*_BASE, TEMPLATES), "SELECT chunk_id, row_no, template_id FROM R JOIN TI USING (chunk_id, template)"),
         "template_restore": _sql(ev, (*_BASE, TEMPLATES), "SELECT chunk_id, row_no, template FROM R"),
-        "template_usage": _sql(ev, (*_BASE, TEMPLATES), "SELECT chunk_id, template_id, EXISTS (SELECT 1 FROM R WHERE R.chunk_id = TI.chunk_id AND R.template = TI.template AND row_no % 2 = 0) AS used FROM TI"),
+        "template_usage": _sql(ev, (*_BASE, TEMPLATES), "SELECT chunk_id, template_id, EXISTS (SELECT 1 FROM R WHERE R.chunk_id = TI.chunk_id AND R.template = TI.template) AS used FROM TI"),
         "number_columns_by_length": _sql(od, (*_BASE, NUMBERS), "SELECT chunk_id, len, seq, value FROM N"),
         "number_delta": _sql(od, (*_BASE, NUMBERS), "SELECT chunk_id, len, seq, delta FROM ND"),
         "number_undelta": _sql(od, (*_BASE, NUMBERS), "SELECT chunk_id, len, seq, value FROM N"),
@@ -146,17 +156,27 @@ def oracle_sql() -> dict[str, str]:
         "lsb_delta_encode": _sql(ev, (*_MINED, INSTANCES, JOINED), "SELECT chunk_id, pattern, inst_no, CASE WHEN inst_no = 0 THEN value ELSE abs(delta) * 2 + CASE WHEN delta < 0 THEN 1 ELSE 0 END END AS code FROM JS"),
         "lsb_delta_decode": _sql(ev, (*_MINED, INSTANCES, JOINED), "SELECT chunk_id, pattern, inst_no, CAST(joined AS BIGINT) AS value FROM J"),
         "pattern_dictionary": _sql(od, (*_MINED, IDS), "SELECT chunk_id, id, token FROM DI"),
-        "matrix_codes": _sql(od, (*_MINED, INSTANCES, IDS), """SELECT chunk_id, pattern, col, inst_no, coalesce(CASE WHEN (is_num AND (fixed_len BETWEEN 1 AND 18 OR NOT lead0_or_big)) OR (regexp_matches(v, '^[0-9]+$') AND length(v) <= 15 AND (length(v) = 1 OR v[1] <> '0'))
-            THEN try_cast(v AS BIGINT) * 2 END, id * 2 + 1) AS code FROM (SELECT chunk_id, pattern, inst_no, unnest(vals) AS v, CAST(generate_subscripts(vals, 1) - 1 AS INTEGER) AS col FROM I)
-            JOIN PC USING (chunk_id, pattern, col) LEFT JOIN DI ON DI.chunk_id = PC.chunk_id AND DI.token = v"""),
+        "matrix_codes": _sql(od, (*_MINED, INSTANCES, IDS), MATRIX),
         "letters_of_id": _letters(),
-        "id_of_letters": "SELECT DISTINCT letters, CAST(list_aggregate(list_transform(range(1, length(letters) + 1), lambda i: (ascii(letters[i]) - 96) * CAST(26 ** (length(letters) - i) AS BIGINT)), 'sum') - 1 AS BIGINT) AS id FROM (SELECT left(event_type, 8) AS letters FROM events) WHERE regexp_matches(letters, '^[a-z]+$')",
+        "id_of_letters": "SELECT DISTINCT letters, CAST(list_aggregate(list_transform(range(1, length(letters) + 1), lambda i: (ascii(letters[i]) - 96) * CAST(26 ** (length(letters) - i) AS BIGINT)), 'sum') - 1 AS BIGINT) AS id FROM (SELECT event_type AS letters FROM events) WHERE regexp_matches(letters, '^[a-z]+$')",
         "roundtrip_diff": """SELECT 'documents' AS source, CAST(sum(len(string_split(text, chr(10)))) AS BIGINT) AS n_lines, CAST(0 AS BIGINT) AS n_differ FROM documents UNION ALL SELECT 'events', count(*), 0 FROM events
             UNION ALL SELECT 'orders', count(*), 0 FROM orders UNION ALL SELECT 'pages', CAST(sum(len(string_split(html, chr(10)))) AS BIGINT), 0 FROM pages""",
-        "archive_size_by_stream": _sql(od, (*_MINED, TEMPLATES, NUMBERS, IDS), f"""SELECT 'numbers' AS stream, count(*) AS values, CAST(sum({leb.format(v='value')}) AS BIGINT) AS leb_bytes FROM N
+        "archive_size_by_stream": _sql(od, (*_MINED, TEMPLATES, NUMBERS, INSTANCES, IDS), f"""SELECT 'numbers' AS stream, count(*) AS values, CAST(sum({leb.format(v='value')}) AS BIGINT) AS leb_bytes FROM N
             UNION ALL SELECT 'strings', count(*), CAST(sum({leb.format(v='id')}) AS BIGINT) FROM V JOIN DI ON V.chunk_id = DI.chunk_id AND tok = token WHERE cls = 'str'
-            UNION ALL SELECT 'templates', count(*), CAST(sum({leb.format(v='template_id')}) AS BIGINT) FROM R JOIN TI USING (chunk_id, template)"""),
+            UNION ALL SELECT 'templates', count(*), CAST(sum({leb.format(v='template_id')}) AS BIGINT) FROM R JOIN TI USING (chunk_id, template)
+            UNION ALL SELECT 'composites', count(*), CAST(sum({leb.format(v='code')}) AS BIGINT) FROM ({MATRIX})"""),
         "archive_read_chunk": _sql(ev, (), "SELECT chunk_id, row_no, line FROM L WHERE chunk_id = 1"),
+        "dictionary_usage": _sql(ev, (*_BASE, STRINGS), """SELECT * FROM (SELECT S.chunk_id, S.id, CASE WHEN bool_or(contains(line, 'PURCHASE')) THEN CASE WHEN bool_or(contains(line, 'CLICK')) THEN 'used' ELSE 'unused' END WHEN bool_or(contains(line, 'CLICK')) THEN 'missing' END AS state
+            FROM S JOIN V ON V.chunk_id = S.chunk_id AND V.tok = S.token AND cls = 'str' JOIN L ON L.chunk_id = V.chunk_id AND L.row_no = V.row_no GROUP BY 1, 2) WHERE state IS NOT NULL"""),
+        "pattern_uses": _sql(od, _MINED, "SELECT chunk_id, pattern, CAST(sum(n) AS BIGINT) AS uses FROM RU GROUP BY 1, 2"),
+        "invalid_templates": _sql(ev, _BASE, """, Q AS (SELECT chunk_id, row_no, string_agg(CASE WHEN cls = 'lit' THEN tok ELSE '<>' END, '' ORDER BY pos) AS shown, string_agg(CASE WHEN cls = 'lit' THEN tok ELSE chr(1) || left(cls, 1) END, '' ORDER BY pos) AS shape FROM X GROUP BY 1, 2),
+            Y AS (SELECT chunk_id, shape, row_number() OVER (PARTITION BY chunk_id ORDER BY f) - 1 AS id FROM (SELECT chunk_id, shape, min(row_no) AS f FROM Q GROUP BY 1, 2))
+            SELECT chunk_id, row_no, CASE WHEN contains(shown, 'VIEW') THEN '<INVALID_ID:' || id || '>' ELSE shown END AS shown FROM Q JOIN Y USING (chunk_id, shape)""").replace("\n, Q AS", ",\nQ AS"),
+        "text_source": _sql(ev, (), "SELECT CAST(n // 4000 AS INTEGER) AS chunk_id, n AS row_no, line FROM (SELECT row_number() OVER (ORDER BY row_no) - 1 AS n, line FROM L)"),
+        "row_range": _sql(ev, (), "SELECT chunk_id, row_no, line FROM L WHERE row_no >= 1000 AND row_no < 3000"),
+        "sampled_differences": "SELECT 'changed' AS kind, unnest(['before', 'after']) AS side",
+        "many_slots_plan": _sql(ITEMS, _MINED, "SELECT chunk_id, skeleton, rows, n_varying, mode, best_slot, array_to_string(split_values, '|') AS split_values FROM PV"),
+        "length_keys": _sql(od, (*_BASE, NUMBERS), "SELECT chr(CAST(96 + len AS INTEGER)) AS key, len, count(*) AS n FROM N GROUP BY 1, 2"),
         "legacy_archive_roundtrip": _sql(od, (), "SELECT chunk_id, row_number() OVER (PARTITION BY chunk_id ORDER BY row_no) - 1 AS line_no, line FROM L"),
         "legacy_leb_decode": _sql(od, (*_BASE, NUMBERS), "SELECT chunk_id, len, seq, value FROM N"),
     }

@@ -39,11 +39,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a shared table and read it back."""
+def settled_at(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """Write ``df`` as a shared table; its path, for :func:`drop_path`, and the table."""
     path = fresh_path(df.sparkSession, name)
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path, df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a shared table and read it back."""
+    return settled_at(df, name)[1]
 
 
 def ship(spark: SparkSession) -> None:

@@ -92,9 +92,85 @@ def template_restore(spark, sf_dir):
 
 
 def template_usage(spark, sf_dir):
+    """Templates of all event lines, and whether lines refer to them."""
     templates, rows = parse.template_ids(event_lines(spark, sf_dir))
-    used = rows.where("row_no % 2 = 0").select("chunk_id", "template_id").distinct().withColumn("used", F.lit(True))
-    return templates.join(used, ["chunk_id", "template_id"], "left").select("chunk_id", "template_id", F.coalesce("used", F.lit(False)).alias("used"))
+    report = archive.reference_report(templates, rows, "template_id")
+    return report.select("chunk_id", "template_id", (F.col("state") == "used").alias("used"))
+
+
+def _archived_orders(spark, sf_dir) -> str:
+    return _archived(spark, order_lines(spark, sf_dir))
+
+
+def dictionary_usage(spark, sf_dir):
+    """Ids that the string marks refer to against the chunk's string dictionary of purchases: used, unused and missing ones."""
+    lines = event_lines(spark, sf_dir)
+    every = encode.string_dictionary(_variables(lines))
+    bought = encode.string_dictionary(_variables(lines.where(F.contains("line", F.lit("PURCHASE")))))
+    clicked = encode.string_dictionary(_variables(lines.where(F.contains("line", F.lit("CLICK")))))
+    ids = every.join(bought.select("chunk_id", "token"), ["chunk_id", "token"], "left_semi")
+    used = every.join(clicked.select("chunk_id", "token"), ["chunk_id", "token"], "left_semi")
+    return archive.reference_report(ids, used, "id")
+
+
+def pattern_uses(spark, sf_dir):
+    """How often each pattern of an archive occurs, also those that only the dictionary holds."""
+    return archive.pattern_uses(_archived_orders(spark, sf_dir), spark)
+
+
+def invalid_templates(spark, sf_dir):
+    """Lines of an archive whose templates of view events are gone: they read as invalid ids, the others as they were."""
+    path = _archived(spark, event_lines(spark, sf_dir))
+    lines, templates = archive.table(spark, path, "lines"), archive.table(spark, path, "templates")
+    left = templates.where(~F.exists("literals", lambda x: F.contains(x, F.lit("VIEW"))))
+    rows = lines.join(left, ["chunk_id", "template_id"], "left")
+    shown = F.when(F.col("literals").isNull(), F.concat(F.lit("<INVALID_ID:"), F.col("template_id").cast("string"), F.lit(">"))).otherwise(F.array_join("literals", "<>"))
+    return rows.select("chunk_id", "row_no", shown.alias("shown"))
+
+
+def text_source(spark, sf_dir):
+    """Event lines written as text files, and read back as numbered lines of chunks."""
+    path = workspace.fresh_path(spark, "text")
+    ordered = event_lines(spark, sf_dir).repartitionByRange("row_no").sortWithinPartitions("row_no")
+    ordered.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+    return src.text_lines(spark, path, 4_000)
+
+
+def row_range(spark, sf_dir):
+    """Rows 1,000 up to 3,000 of an archive."""
+    return src.row_range(archive.read(spark, _archived(spark, event_lines(spark, sf_dir))), 1_000, 3_000)
+
+
+def sampled_differences(spark, sf_dir):
+    """Random lines (the sample is the feature) compared with an archive in which every purchase was changed: one row a kind."""
+    lines = event_lines(spark, sf_dir)
+    back = archive.read(spark, _archived(spark, lines)).withColumn("line", F.replace("line", F.lit("PURCHASE"), F.lit("SALE")))
+    found = archive.sampled_differences(lines, back, 400)
+    kind = F.when(F.contains("line", F.lit("PURCHASE")) | F.contains("line", F.lit("SALE")), "changed").otherwise("other")
+    return found.select(kind.alias("kind"), "side").distinct()
+
+
+def many_slots_plan(spark, sf_dir):
+    """Split plan of line items whose tokens have 17 slots, with long numbers, many representatives and dominated slots."""
+    li = _table(spark, sf_dir, "lineitem")
+    n = lambda c: F.col(c).cast("long").cast("string")
+    date = [F.date_format("l_shipdate", f) for f in ("yyyy", "MM", "dd")]
+    rests = [(F.col("l_orderkey") % k).cast("string") for k in (2, 3, 5, 7, 11)]
+    small = F.concat_ws(":", n("l_orderkey"), n("l_linenumber"), F.col("l_returnflag"), F.col("l_linestatus"), *date, n("l_quantity"), *rests, n("l_partkey"), n("l_suppkey"), F.lpad(n("l_orderkey"), 20, "0"), F.lit("end1"))
+    many = F.concat(F.lit("q="), (F.col("l_partkey") % 45).cast("string"), F.lit("/s"), (F.col("l_suppkey") % 50).cast("string"))
+    kind = F.when(F.col("l_orderkey") % 100 < 70, "a1").otherwise(F.concat(F.lit("b"), (F.col("l_orderkey") % 100).cast("string")))
+    line = F.concat(F.lit("item "), small, F.lit(" "), many, F.lit(" m="), kind, F.lit(":w"), (F.col("l_orderkey") % 11).cast("string"))
+    key = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    lines = src.chunked(li.select(key.alias("row_no"), line.alias("line")), 200_000)
+    plan = mine.split_plan(profile.slot_values(_settled(lines)))
+    return plan.select("chunk_id", "skeleton", "rows", "n_varying", "mode", "best_slot", F.array_join("split_values", "|").alias("split_values"))
+
+
+def length_keys(spark, sf_dir):
+    """Number columns by the letter that names their length, and back."""
+    nums = parse.number_columns(_variables(order_lines(spark, sf_dir)))
+    keyed = nums.groupBy(t.key_of_length(F.col("len")).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    return keyed.select("key", t.length_of_key(F.col("key")).alias("len"), "n")
 
 
 def number_columns_by_length(spark, sf_dir):
@@ -204,9 +280,10 @@ def pattern_column_types(spark, sf_dir):
 
 
 def _event_instances(spark, sf_dir):
-    lines = event_lines(spark, sf_dir)
-    rules = _rules(lines)
-    return rules, encode.instances(mine.pattern_rows(_variables(lines), rules))
+    # Tokens are cut out once; mining and instances start from the table.
+    comps = workspace.settle(_variables(event_lines(spark, sf_dir)).where("cls = 'comp'"), "variables")
+    rules = workspace.settle(mine.mined(workspace.settle(parse.distinct_composites(comps), "distinct")), "rules")
+    return rules, encode.instances(mine.pattern_rows(comps, rules))
 
 
 def pattern_instance_join(spark, sf_dir):
@@ -215,7 +292,10 @@ def pattern_instance_join(spark, sf_dir):
     heads = rules.groupBy("chunk_id", "pattern").agg(F.first("lits").alias("lits"), F.first("fill").alias("fill"))
     nth = lambda i: F.size(F.filter(F.slice("fill", 1, i + 1), lambda f: f.isNull()))
     words = F.transform("fill", lambda f, i: F.coalesce(f, F.get("vals", nth(i) - 1)))
-    return inst.join(heads, ["chunk_id", "pattern"]).select("chunk_id", "pattern", "inst_no", t.fill(F.col("lits"), words).alias("tok"))
+    # A value list is rendered once, however often it occurs.
+    forms = rules.where(F.size("vals") > 0).select("chunk_id", F.col("tok").alias("form"), "pattern", "vals").join(heads, ["chunk_id", "pattern"])
+    rendered = forms.select("chunk_id", "form", t.fill(F.col("lits"), words).alias("tok"))
+    return inst.select("chunk_id", "pattern", "inst_no", F.col("tok").alias("form")).join(rendered, ["chunk_id", "form"]).select("chunk_id", "pattern", "inst_no", "tok")
 
 
 def concat_fixed_width(spark, sf_dir):
@@ -239,20 +319,23 @@ def lsb_delta_decode(spark, sf_dir):
     return back.select("chunk_id", "pattern", "inst_no", F.col("value").cast("long").alias("value"))
 
 
+def _order_rules(spark, sf_dir):
+    """Variables, rules, columns and dictionary of the order lines, each written once."""
+    v = workspace.settle(_variables(order_lines(spark, sf_dir)), "variables")
+    d = workspace.settle(parse.distinct_composites(v), "distinct")
+    values = workspace.settle(profile.slot_values(d), "slots")
+    rules = workspace.settle(mine.mined(d, values=values), "rules")
+    columns = mine.pattern_columns(rules)
+    return v, rules, columns, encode.dictionary(v, rules, columns, profile.slot_stats(values))
+
+
 def pattern_dictionary(spark, sf_dir):
-    lines = order_lines(spark, sf_dir)
-    d = _settled(lines)
-    rules = workspace.settle(mine.mined(d), "rules")
-    return encode.dictionary(_variables(lines), rules, mine.pattern_columns(rules), profile.slot_stats(profile.slot_values(d)))
+    return _order_rules(spark, sf_dir)[-1]
 
 
 def matrix_codes(spark, sf_dir):
-    lines = order_lines(spark, sf_dir)
-    d, v = _settled(lines), _variables(lines)
-    rules = workspace.settle(mine.mined(d), "rules")
-    columns = mine.pattern_columns(rules)
-    ids = workspace.settle(encode.dictionary(v, rules, columns, profile.slot_stats(profile.slot_values(d))), "dictionary")
-    return encode.matrix_codes(encode.instances(mine.pattern_rows(v, rules)), columns, ids)
+    v, rules, columns, ids = _order_rules(spark, sf_dir)
+    return encode.matrix_codes(encode.instances(mine.pattern_rows(v, rules)), rules, columns, workspace.settle(ids, "dictionary"))
 
 
 def letters_of_id(spark, sf_dir):
@@ -280,13 +363,15 @@ def roundtrip_diff(spark, sf_dir):
         moved = df.select((F.col("chunk_id") * len(sources) + i).alias("chunk_id"), (F.col("row_no") * len(sources) + i).alias("row_no"), "line")
         lines = moved if lines is None else lines.unionByName(moved)
     back = archive.read(spark, _archived(spark, lines))
-    both = back.select("row_no", F.lit(1).alias("n"), F.lit(0).alias("d")).unionByName(archive.differences(lines, back).select("row_no", F.lit(0).alias("n"), F.lit(1).alias("d")))
+    # Both sides are counted in one pass: a line that came back whole has none left over.
+    each = back.select("row_no", "line", F.lit(1).alias("n"), F.lit(1).alias("d")).unionByName(lines.select("row_no", F.coalesce("line", F.lit("")).alias("line"), F.lit(0).alias("n"), F.lit(-1).alias("d")))
+    counted = each.groupBy("row_no", "line").agg(F.sum("n").alias("n"), F.abs(F.sum("d")).alias("d"))
     name = F.element_at(F.array(*map(F.lit, sources)), (F.col("row_no") % len(sources) + 1).cast("int"))
-    return both.groupBy(name.alias("source")).agg(F.sum("n").alias("n_lines"), F.sum("d").alias("n_differ"))
+    return counted.groupBy(name.alias("source")).agg(F.sum("n").alias("n_lines"), F.sum("d").alias("n_differ"))
 
 
 def archive_size_by_stream(spark, sf_dir):
-    return archive.sizes(_archived(spark, order_lines(spark, sf_dir)), spark).where("stream <> 'composites'")
+    return archive.sizes(_archived_orders(spark, sf_dir), spark)
 
 
 def archive_read_chunk(spark, sf_dir):
@@ -314,6 +399,7 @@ QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     skeleton_groups, slot_value_counts, slot_stats, representative_values, best_slot, constant_slots, split_plan, split_rows_semi, remainder_rows_anti,
     split_constant_fold, final_patterns, pattern_column_types, pattern_instance_join, concat_fixed_width, delta_eligibility, lsb_delta_encode, lsb_delta_decode,
     pattern_dictionary, matrix_codes, letters_of_id, id_of_letters, roundtrip_diff, archive_size_by_stream, archive_read_chunk, legacy_archive_roundtrip, legacy_leb_decode,
+    dictionary_usage, pattern_uses, invalid_templates, text_source, row_range, sampled_differences, many_slots_plan, length_keys,
 )
 
 

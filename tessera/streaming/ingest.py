@@ -6,8 +6,6 @@ named after it; a batch that is run again overwrites its folder.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -33,8 +31,8 @@ def archive_stream(spark: SparkSession, source: str, target: str, state: str, se
 
 
 def read_batches(spark: SparkSession, target: str) -> DataFrame:
-    """(batch, chunk_id, row_no, line) of all archived batches."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    names = sorted(s.getPath().getName() for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("batch="))
-    return reduce(DataFrame.unionByName, [archive.read(spark, f"{target}/{n}").withColumn("batch", F.lit(int(n.removeprefix("batch=")))) for n in names])
+    """(batch, chunk_id, row_no, line) of all archived batches, in one plan however many there are; none is an empty table.
+
+    The folders ``batch=n`` are a partition column of every table; a batch's chunks get numbers that no other batch has, for the joins.
+    """
+    return archive.read_all(spark, target, "batch")

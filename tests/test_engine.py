@@ -1,6 +1,7 @@
 """The log engine: token edges, mining shapes, encodings, exact round trips."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,6 +158,124 @@ def test_settings():
             Settings(**bad)
 
 
+def test_row_range_and_sampled_differences(spark, tmp_path):
+    lines = lines_of(spark, [f"id {i} k={i % 7}:x{i}" for i in range(300)], 50)
+    archive.write(lines, str(tmp_path / "a"))
+    back = archive.read(spark, str(tmp_path / "a"))
+    assert [r.row_no for r in src.row_range(back, 40, 60).orderBy("row_no").collect()] == list(range(40, 60))
+    assert src.row_range(back, 5, 5).count() == 0
+    assert archive.sampled_differences(lines, back, 50).count() == 0
+    other = back.withColumn("line", F.when(F.col("row_no") % 2 == 0, F.col("line")).otherwise(F.concat("line", F.lit("!"))))
+    found = archive.sampled_differences(lines, other, 300).collect()
+    assert len(found) == 300 and {(r.row_no % 2, r.side) for r in found} == {(1, "before"), (1, "after")}
+
+
+def test_differences_count_repeats(spark):
+    a = spark.createDataFrame([(1, "x")] * 3 + [(2, "y"), (3, None)], "row_no long, line string")
+    b = spark.createDataFrame([(1, "x"), (2, "z"), (3, None)], "row_no long, line string")
+    got = sorted((r.row_no, r.line, r.side) for r in archive.differences(a, b).collect())
+    assert got == [(1, "x", "before"), (1, "x", "before"), (2, "y", "before"), (2, "z", "after")]
+
+
+def test_variables_of_a_line_are_those_of_its_tokens(spark):
+    rng = random.Random(8)
+    texts = [*[x for x in EDGES if x], *["".join(rng.choice("a09/<>|()*- \té²٣:\\C\xa0\u2028") for _ in range(rng.randint(0, 30))) for _ in range(400)]]
+    rows = lines_of(spark, texts).select("line", t.line_variables(F.col("line")).alias("v"), t.line_literals(F.col("line")).alias("l"), t.variables(t.tokens(F.col("line"))).alias("s")).collect()
+    for r in rows:
+        assert r.v == [x.tok for x in r.s] and len(r.l) == len(r.v) + 1
+        assert "".join(a + b for a, b in zip(r.l, [*r.v, ""])) == r.line
+
+
+def test_archive_uses_and_sizes(spark, tmp_path):
+    texts = [*split_lines(), "gone k=9", "n 12 abc1"]
+    archive.write(lines_of(spark, texts), str(tmp_path / "a"))
+    uses = {r.pattern: r.uses for r in archive.pattern_uses(str(tmp_path / "a"), spark).collect()}
+    assert uses == {"s=a1:<>": 70, "s=<>:<>": 30, "k=9": 1}
+    got = {r.stream: r["values"] for r in archive.sizes(str(tmp_path / "a"), spark).collect()}
+    assert got == {"composites": 70 + 60, "numbers": 1, "strings": 1, "templates": 102}
+
+
+def test_reports_of_references(spark):
+    ids = spark.createDataFrame([(0, 1), (0, 2), (1, 1)], "chunk_id int, id long")
+    used = spark.createDataFrame([(0, 1), (0, 1), (1, 7)], "chunk_id int, id long")
+    got = {(r.chunk_id, r.id): r.state for r in archive.reference_report(ids, used, "id").collect()}
+    assert got == {(0, 1): "used", (0, 2): "unused", (1, 1): "unused", (1, 7): "missing"}
+
+
+def test_missing_templates_read_as_invalid_ids(spark, tmp_path):
+    archive.write(lines_of(spark, ["one 1", "two 2", "one 3"]), str(tmp_path / "a"))
+    left = spark.read.schema(archive.TABLES["templates"]).parquet(str(tmp_path / "a" / "templates")).where("template_id <> 0")
+    left.write.partitionBy("part").parquet(str(tmp_path / "t"))
+    shutil.rmtree(tmp_path / "a" / "templates")
+    (tmp_path / "t").rename(tmp_path / "a" / "templates")
+    assert [r.line for r in archive.read(spark, str(tmp_path / "a")).orderBy("row_no").collect()] == ["<INVALID_ID:0>", "two 2", "<INVALID_ID:0>"]
+
+
+def test_length_keys(spark):
+    rows = spark.range(1, 16).select("id", t.key_of_length(F.col("id")).alias("k")).withColumn("n", t.length_of_key(F.col("k"))).collect()
+    assert [r.k for r in rows] == list("abcdefghijklmno") and all(r.n == r.id for r in rows)
+
+
+def test_command_line(spark, tmp_path, capsys, monkeypatch):
+    from tessera import __main__ as cli
+
+    log = "".join(f"req id{i} k={i % 5}:x\r\n" for i in range(120)) + "\nlast"
+    (tmp_path / "in.log").write_bytes(log.encode())
+    assert cli.main(["-o", str(tmp_path / "a"), "-c", "50", "--legacy", str(tmp_path / "in.log")]) == 0
+    assert len(list((tmp_path / "a" / "portable").glob("*.tar.xz"))) == 3
+    said = capsys.readouterr().out
+    assert all(f"{x}: " in said for x in ("parse", "mining", "dictionary", "patterns", "portable", "total"))
+    assert cli.main(["--restore", "-o", str(tmp_path / "b"), str(tmp_path / "a")]) == 0
+    back = b"".join(p.read_bytes() for p in sorted((tmp_path / "b").glob("part-*")))
+    assert back == log.encode() + b"\n"
+    with pytest.raises(SystemExit):
+        cli.main(["-c", "0", "x"])
+
+
+def test_session_keeps_the_master_that_is_named(monkeypatch):
+    from tessera import __main__ as cli
+
+    masters = []
+
+    class Builder:
+        def appName(self, name):
+            return self
+
+        def master(self, name):
+            masters.append(name)
+            return self
+
+        def getOrCreate(self):
+            return None
+
+    class Session:
+        builder = Builder()
+
+        @staticmethod
+        def getActiveSession():
+            return None
+
+    monkeypatch.setattr(cli, "SparkSession", Session)
+    monkeypatch.setattr(cli, "SparkConf", lambda: type("C", (), {"contains": lambda self, k: named})())
+    monkeypatch.delenv("PYSPARK_GATEWAY_PORT", raising=False)
+    for named, env, want in ((False, None, ["local[4]"]), (True, None, []), (False, "1", [])):
+        masters.clear()
+        monkeypatch.setenv("PYSPARK_GATEWAY_PORT", env) if env else monkeypatch.delenv("PYSPARK_GATEWAY_PORT", raising=False)
+        cli.session(Settings())
+        assert masters == want
+
+
+def test_no_machine_local_folder_on_a_cluster(monkeypatch):
+    from tessera.plans import workspace
+
+    class Conf:
+        get = staticmethod(lambda *a: None)
+
+    context = type("X", (), {"getConf": lambda self: Conf, "applicationId": "app", "master": "spark://host:7077"})()
+    with pytest.raises(ValueError, match="checkpoint"):
+        workspace.fresh_path(type("S", (), {"conf": Conf, "sparkContext": context})(), "x")
+
+
 def test_streaming_chunks(spark, tmp_path):
     from tessera.streaming import ingest
 
@@ -166,3 +285,10 @@ def test_streaming_chunks(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert ingest.read_batches(spark, str(tmp_path / "out")).count() == 50
+    (tmp_path / "in" / "b.log").write_text("".join(f"other {i} n={i}/z\n" for i in range(20)))
+    query = ingest.archive_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.processAllAvailable()
+    query.stop()
+    back = ingest.read_batches(spark, str(tmp_path / "out")).collect()
+    assert sorted({r.batch for r in back}) == [0, 1] and {r.line for r in back if r.batch == 1} == {f"other {i} n={i}/z" for i in range(20)}
+    assert ingest.read_batches(spark, str(tmp_path / "none")).count() == 0
