@@ -62,7 +62,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = op8_pieces.load(public_tokenizers.path("piece_bpe_32k.model"))
-    coded = op8_pieces.encode(docs, vocabulary)
+    # Written in between: a task then has one Python worker, not one to encode and one to decode.
+    coded = settle(op8_pieces.encode(docs, vocabulary), "pieces")
     read = op8_pieces.decode(coded, vocabulary)
     same = F.col("decoded") == F.replace(F.coalesce("text", F.lit("")), F.lit(op8_pieces.MARKER), F.lit(" "))
     n = (F.octet_length("pieces") / 4).cast("long")

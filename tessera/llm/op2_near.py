@@ -44,7 +44,7 @@ BANDS, ROWS, STEP, TOLERANCE = 32, 4, 16, 1e-6
 HASHES = BANDS * ROWS
 BLOCK = 256
 #: Pairs compared at once, rows of units held at once.
-PAIRS, HELD = 1 << 16, 2048
+PAIRS, HELD = 1 << 15, 1024
 #: Bits of the bitmap of candidates: 16 for each, up to this many (16 MB); beyond, more texts pass it.
 MOST_BITS, BITMAP = 1 << 27, 1 << 15
 

@@ -37,7 +37,7 @@ from tessera.llm.kernels import Words, _spans, text_bytes
 
 MARKER = "▁"
 #: Spans a Python worker remembers; bytes of a span from which it is searched alone.
-REMEMBERED, LONG = 400_000, 200
+REMEMBERED, LONG = 250_000, 200
 _CACHES: dict[str, SpanCache] = {}
 #: Bits of the table of neighbours: two pairs of one code only make a cut fewer.
 _BITS = 22
@@ -388,7 +388,7 @@ def encode(docs: DataFrame, v: Vocabulary, text: str = "text", into: str = "piec
 
         return run
 
-    return add_columns(docs, text, [T.StructField(into, T.BinaryType())], make, keep, most=1 << 20)
+    return add_columns(docs, text, [T.StructField(into, T.BinaryType())], make, keep, most=1 << 19)
 
 
 def decode(coded: DataFrame, v: Vocabulary, pieces: str = "pieces", into: str = "decoded", keep: list[str] | None = None) -> DataFrame:
