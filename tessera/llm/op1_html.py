@@ -258,18 +258,18 @@ def suffix_array(first: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.nd
     left = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(n)
     order = np.argsort(first)
     begins = np.diff(first[order], prepend=first[order[:1]] - 1 if n else 0) != 0
-    rank = np.empty(n, np.int64)
+    rank = np.empty(n, np.int32)
     starts = np.flatnonzero(begins)
     sizes = np.diff(np.append(starts, n))
     rank[order] = np.repeat(starts, sizes)
     tied = order[np.repeat(sizes > 1, sizes)]
     levels, depth, pages = [], 1, int(page[-1]) + 2 if n else 1
     while True:
-        levels.append(rank.astype(np.int32))
+        levels.append(rank)
         if not len(tied):
             break
         after = np.where(left[tied] > depth, rank[np.minimum(tied + depth, n - 1)] + pages, pages - 2 - page[tied])
-        key = rank[tied] * (n + pages + 1) + after
+        key = rank[tied].astype(np.int64) * (n + pages + 1) + after
         turn = np.argsort(key)
         tied, key = tied[turn], key[turn]
         old = rank[tied]
@@ -284,13 +284,17 @@ def suffix_array(first: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.nd
     array = np.empty(n, np.int64)
     array[rank] = np.arange(n)
     common = np.zeros(n, np.int64)
-    at = np.arange(1, n)
-    for k in range(len(levels) - 1, -1, -1):
-        # Equal ranks at a level mean 2^k equal tokens, all within both pages.
-        i, j = array[at - 1] + common[at], array[at] + common[at]
-        inside = (common[at] < left[array[at - 1]]) & (common[at] < left[array[at]])
-        i, j = np.minimum(i, n - 1), np.minimum(j, n - 1)
-        common[at] += np.where(inside & (levels[k][i] == levels[k][j]), 1 << k, 0)
+    # Equal ranks at a level mean 2^k equal tokens, all within both pages: neighbours that differ there have fewer in common.
+    at, a, b, tied_at = np.arange(1, n), array[:-1], array[1:], []
+    for level in levels:
+        same = level[a] == level[b]
+        at, a, b = at[same], a[same], b[same]
+        tied_at.append((at, a, b))
+    for k, (at, a, b) in reversed(list(enumerate(tied_at))):
+        have = common[at]
+        inside = (have < left[a]) & (have < left[b])
+        i, j = np.minimum(a + have, n - 1), np.minimum(b + have, n - 1)
+        common[at] = have + np.where(inside & (levels[k][i] == levels[k][j]), 1 << k, 0)
     return array, common
 
 
@@ -350,9 +354,11 @@ def repeats(s: Streams, host: np.ndarray, kinds: list[str]) -> tuple[np.ndarray,
         some = array[places]
         # Neighbours with their length in common are one substring.
         shared = np.minimum.reduceat(common[: places[-1] + 1], np.r_[places[:1], places[:-1] + 1])
-        new = (shared < length[some]) | (np.diff(length[some], prepend=0) != 0)
+        asked = length[some]
+        new = (shared < asked) | (np.diff(asked, prepend=0) != 0)
         new[0] = True
-        times = np.bincount(np.unique((np.cumsum(new) - 1) * pages + s.page[some]) // pages)
+        on = np.sort((np.cumsum(new) - 1) * pages + s.page[some])
+        times = np.bincount(on[np.diff(on, prepend=-1) != 0] // pages)
         matters = np.logical_or.reduceat(decides[some], np.flatnonzero(new))
         found.append((code[some[new]], s.page[some[new]], times, np.full(len(times), least), matters))
     return tuple(np.concatenate(c) for c in zip(*found)) if found else (*(np.empty(0, np.int64),) * 4, np.empty(0, bool))
