@@ -16,7 +16,7 @@ Spark's committer, so a lost executor leaves no half file, and the header last.
 
 Texts are tokenised by the tokenizers library.  Where the vocabulary file has the one normaliser and pre-tokeniser known to
 end pre-tokens at white space and between letters, digits and symbols, in lower case (:data:`CUT_SETTINGS`), each distinct
-piece of that kind is encoded by the library once and its
+piece of that kind is encoded by the library once (new ones many together, with a mark between them) and its
 ids are reused by all tasks of a Python worker; for other vocabularies whole texts are encoded.
 
 Edge cases: names of special tokens in a text are ordinary text, or with ``special`` those tokens,
@@ -33,6 +33,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,8 @@ from tessera.llm.store import drop_path, fresh_path, settled_at, ship
 SEGMENT = 1 << 20
 #: Pieces a worker remembers before it starts anew.
 REMEMBERED = 700_000
+#: New pieces that the library encodes as one text, and the character between them.
+TOGETHER, MARK = 100, "\x01"
 _CACHES: dict[tuple[str, bool], Encoder] = {}
 _HEAD = struct.Struct("<4sHHIII")
 VERSION = 2
@@ -82,8 +85,18 @@ class Encoder:
         plain, self.encode = ids_of(True), ids_of(not special)
         self.names = [t.content for t in Tokenizer.from_file(path).get_added_tokens_decoder().values() if t.special] if special else []
 
+        # One byte that the vocabulary writes as one id, which then stands for no other bytes.
+        mark = plain([MARK])[0]
+
         def learn(spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-            made = plain([s.decode() for s in spans])
+            texts = [s.decode() for s in spans]
+            if self.cut and len(mark) == 1 and not any(MARK in x for x in texts):
+                made = plain([f" {MARK} ".join([*texts[i : i + TOGETHER], ""]) for i in range(0, len(texts), TOGETHER)])
+                ids = np.fromiter(chain.from_iterable(made), np.uint32)
+                ends = np.flatnonzero(ids == mark[0])
+                if len(ends) == len(texts):
+                    return ids[ids != mark[0]], np.diff(ends, prepend=-1) - 1
+            made = plain(texts)
             return np.array([i for ids in made for i in ids], np.uint32), np.array([len(ids) for ids in made], np.int64)
 
         self.cache = SpanCache(learn, REMEMBERED)

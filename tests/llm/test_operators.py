@@ -708,6 +708,41 @@ def test_pieces_of_any_script():
     assert min(seconds("".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(60_000))) for _ in range(5)) < 3 * plain
 
 
+def test_new_pieces_are_encoded_together():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    words = list({"".join(rng.choice("abcdefghiknorstué'") for _ in range(rng.randint(1, 14))) for _ in range(30_000)})
+    library = Tokenizer.from_file(path)
+
+    def took(run):
+        best = []
+        for _ in range(3):
+            began = time.process_time()
+            got = run()
+            best.append(time.process_time() - began)
+        return min(best), got
+
+    encoders, column = [op9_token_files.Encoder(path) for _ in range(3)], pa.array(words)
+    alone, want = took(lambda: [e.ids for e in library.encode_batch_fast(words, add_special_tokens=False)])
+    together, (ids, total) = took(lambda: encoders.pop()(column, 1))
+    assert ids.tolist() == [x for made in want for x in [*made, 1]] and total.tolist() == [len(made) + 1 for made in want]
+    assert together < alone
+    # Texts with the mark itself, alone and beside letters.
+    odd = ["a\x01b \x01 c", "\x01", "x \x01\x01 new1piece", ""]
+    ids, total = op9_token_files.Encoder(path)(pa.array(odd), 1)
+    assert ids.tolist() == [x for t in odd for x in [*library.encode(t, add_special_tokens=False).ids, 1]]
+
+
+def test_span_cache_compares_bytes_of_later_calls():
+    cache = op8_pieces.SpanCache(lambda spans: (np.array([s[-1] for s in spans]), np.ones(len(spans), int)), 10)
+    for texts in (["alpha-beta-gamma 7", "x"], ["alpha-beta-gammb 7", "y x"], ["alpha-beta-gamma 7", "x"]):
+        w = kernels.words(pa.array(texts), lower=False)
+        w.hash = np.array([len(x) for t in texts for x in t.split()], np.uint64) * np.uint64(3)
+        assert cache(w)[0].tolist() == [ord(x[-1]) for t in texts for x in t.split()]
+
+
 def test_span_cache_compares_bytes():
     w = kernels.words(pa.array(["one two one", "two three"]))
     w.hash[:] = 7  # as if all hashes met
